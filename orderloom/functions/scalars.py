@@ -25,5 +25,5 @@ def with_group_stats(df: DataFrame, keys: list[str], stats: DataFrame) -> DataFr
     renamed = stats.select(
         *(F.col(k).alias(f"_g_{k}") for k in keys), *(c for c in stats.columns if c not in keys)
     )
-    match = reduce(lambda a, b: a & b, (df[k].eqNullSafe(renamed[f"_g_{k}"]) for k in keys))
+    match = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys))
     return df.join(renamed, match).drop(*(f"_g_{k}" for k in keys))
