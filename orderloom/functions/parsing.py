@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 # The text forms the source systems write.
 NULL_TOKENS = ("", "NaN", "null", "NULL")
-TIME_PATTERNS = ("h:mm a, MMMM d yyyy", "yyyy-MM-dd HH:mm:ss")
+CLOCK_FIRST, DATE_FIRST = "h:mm a, MMMM d yyyy", "yyyy-MM-dd HH:mm:ss"
+# Each time pattern with the SQL LIKE shape of the texts that can match it.
+TIME_FORMS = {CLOCK_FIRST: "%:% %, % % %", DATE_FIRST: "____-%-% %:%:%"}
 SHORT_DISTANCE_TEXT = "<1km"
 SHORT_DISTANCE_KM = 0.5
 DISTANCE_UNIT = "km"
@@ -22,19 +24,21 @@ def tidy_text(text: Column) -> Column:
     return F.lower(F.trim(text))
 
 
-def parse_moment(text: Column, patterns=TIME_PATTERNS) -> Column:
+def parse_moment(text: Column, forms=TIME_FORMS) -> Column:
     """Zone-less timestamp from the first matching pattern, NULL when none matches.
 
     The text is read as UTC and carried to TIMESTAMP_NTZ by its distance from the
-    epoch, so the wall time survives whatever zone the session runs in.
+    epoch, so the wall time survives whatever zone the session runs in. A failed parse is
+    slow, so a pattern is tried only on texts of its shape.
     """
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    trimmed = F.trim(text)
 
     def read(pattern: str) -> Column:
-        instant = F.try_to_timestamp(F.concat(F.trim(text), F.lit(" +0000")), F.lit(f"{pattern} Z"))
+        instant = F.try_to_timestamp(F.concat(trimmed, F.lit(" +0000")), F.lit(f"{pattern} Z"))
         return F.timestamp_add("MICROSECOND", F.unix_micros(instant), epoch)
 
-    return F.coalesce(*(read(p) for p in patterns))
+    return F.coalesce(*(F.when(trimmed.like(shape), read(p)) for p, shape in forms.items()))
 
 
 def parse_distance(text: Column) -> Column:

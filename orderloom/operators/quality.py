@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderloom.functions.parsing import TIME_PATTERNS, parse_moment, tidy_text
+from orderloom.functions.parsing import DATE_FIRST, TIME_FORMS, parse_moment, tidy_text
 from orderloom.functions.rates import MONEY, count_where, pct
 from orderloom.functions.scalars import with_scalars
 from orderloom.operators.staging import RATING_MAX, TIDIED, flag_orphans
@@ -41,8 +41,9 @@ def quality_report(orders_raw: DataFrame, restaurants: DataFrame, ops: DataFrame
         orders_raw.withColumn("restaurant_id", cast_text(F.col("restaurant_id"), "bigint")),
         restaurants,
     )
+    second_form = parse_moment(time, {DATE_FIRST: TIME_FORMS[DATE_FIRST]})
     counts = linked.agg(
-        count_where(parse_moment(time, TIME_PATTERNS[1:]).isNotNull()).alias("second_time_format"),
+        count_where(second_form.isNotNull()).alias("second_time_format"),
         count_where(time.isNotNull() & parse_moment(time).isNull()).alias("unreadable_time"),
         count_where(untidy).alias("untidy_text"),
         count_where(F.col("is_restaurant_orphaned")).alias("orphaned_restaurant"),

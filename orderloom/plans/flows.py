@@ -28,9 +28,12 @@ def segments_from_landing(
     )
 
 
-def outliers_from_landing(
-    orders_raw: DataFrame, restaurants: DataFrame, ops_raw: DataFrame
-) -> DataFrame:
-    """Partner outliers re-tested on the clean baseline."""
-    segments = segments_from_landing(orders_raw, restaurants, ops_raw)
+def outliers_from_landing(orders_raw: DataFrame, ops_raw: DataFrame) -> DataFrame:
+    """Partner outliers re-tested on the clean baseline.
+
+    Of the orders only their existence matters, and cleaning keeps every order id, so one
+    landing column is read instead of staging them all.
+    """
+    known = normalize_nulls(orders_raw.select("order_id")).distinct()
+    segments = delivery.delivery_segments(typed(known, "orders_raw"), resolved_deliveries(ops_raw))
     return delivery.retest_on_clean_baseline(delivery.partner_outliers(segments))

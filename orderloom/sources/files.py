@@ -40,11 +40,16 @@ def normalize_nulls(df: DataFrame, tokens=NULL_TOKENS) -> DataFrame:
 
 
 def cast_text(text: Column, kind: str) -> Column:
-    """Typed value or NULL. Whole numbers may be spelled ``1`` or ``1.0``."""
+    """Typed value or NULL. Whole numbers may be spelled ``1`` or ``1.0``.
+
+    A cast that fails is far slower than one that succeeds, so the spelling decides
+    which cast is tried.
+    """
     if kind == "string":
         return text
     if kind in ("int", "bigint"):
-        return F.coalesce(text.try_cast(kind), text.try_cast("decimal(38,6)").try_cast(kind))
+        spelled_decimal = text.try_cast("decimal(38,6)").try_cast(kind)
+        return F.when(text.contains("."), spelled_decimal).otherwise(text.try_cast(kind))
     return text.try_cast(kind)
 
 

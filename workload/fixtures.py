@@ -6,102 +6,99 @@ order key, and ``workload.oracle`` states the same expressions in SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.operators.prep import late_flag, promised_minutes, transit_minutes
 from orderloom.sources.schemas import ORDERS
 
 
+# The columns read, so that no job is spent on finding them out.
+COLUMNS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_regionkey int",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "supplier": "s_suppkey bigint, s_acctbal double",
+    "part": "p_partkey bigint, p_brand string, p_type string, p_size int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_tax double",
+    "events": "event_id bigint, user_id bigint, event_type string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(COLUMNS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def partner_id(suppkey: Column) -> Column:
-    return F.concat(F.lit("DP"), F.lpad(suppkey.cast("string"), 9, "0"))
+PARTNER_ID = "concat('DP', lpad({}, 9, '0'))"
+KM = "CASE WHEN km_step < 1 THEN 0.5D ELSE double(km_step) END"
 
 
 def _main_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lowest line of each order with its part: outlet, distance and durations."""
-    columns = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax"]
     line = (
         table(spark, sf_dir, "lineitem")
+        .selectExpr("l_orderkey", "struct(l_linenumber, l_partkey, l_suppkey, l_quantity, l_tax) AS line")
         .groupBy("l_orderkey")
-        .agg(F.min(F.struct(*columns)).alias("line"))
+        .agg({"line": "min"})
+        .toDF("l_orderkey", "line")
         .select("l_orderkey", "line.*")
     )
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
-    return line.join(part, F.col("l_partkey") == F.col("p_partkey"), "left").select(
-        "l_orderkey",
-        F.col("l_suppkey").alias("main_supplier"),
-        F.col("p_partkey").alias("restaurant_id"),
-        F.lower("p_brand").alias("restaurant_name"),
-        F.floor(F.col("l_quantity") / 5).cast("int").alias("km_step"),
-        (F.col("p_size") * 7 / F.lit(10.0)).alias("kitchen_minutes"),
-        F.round(F.col("l_tax") * 100).alias("wait_minutes"),
-        F.col("p_size").cast("double").alias("size"),
+    part = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "l_partkey")
+    return line.join(part, "l_partkey", "left").selectExpr(
+        "l_orderkey AS order_id",
+        "l_suppkey AS main_supplier",
+        "l_partkey AS restaurant_id",
+        "lower(p_brand) AS restaurant_name",
+        "int(floor(l_quantity / 5)) AS km_step",
+        "p_size * 7 / 10.0D AS kitchen_minutes",
+        "round(l_tax * 100) AS wait_minutes",
+        "double(p_size) AS size",
     )
 
 
 def _zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    region = table(spark, sf_dir, "region")
-    return (
-        customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-        .join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-        .select("c_custkey", F.lower("r_name").alias("subzone"))
-    )
-
-
-def _km() -> Column:
-    return F.when(F.col("km_step") < 1, F.lit(0.5)).otherwise(F.col("km_step").cast("double"))
-
-
-def order_status() -> Column:
-    key, kind = F.col("order_id"), F.col("o_orderstatus")
-    open_order = F.when(key % 10 == 0, "Returned").when(key % 10 == 1, "Return cancelled")
-    unserved = F.when(key % 3 == 0, "Rejected").when(key % 3 == 1, "Timed out").otherwise("Picked up")
-    return (
-        F.when(kind == "F", "Delivered")
-        .when(kind == "O", open_order.otherwise("Delivered"))
-        .otherwise(unserved)
+    customer = table(spark, sf_dir, "customer").toDF("o_custkey", "n_nationkey")
+    nation = table(spark, sf_dir, "nation").toDF("n_nationkey", "r_regionkey")
+    named = customer.join(nation, "n_nationkey", "left").join(
+        table(spark, sf_dir, "region"), "r_regionkey", "left"
     )
+    return named.selectExpr("o_custkey", "lower(r_name) AS subzone")
 
 
 def orders(spark: SparkSession, sf_dir: str, line: bool = False, zone: bool = False) -> DataFrame:
     """Clean orders, one row each; ``line`` and ``zone`` add the columns that need joins."""
-    source = table(spark, sf_dir, "orders")
-    key = F.col("order_id")
-    account = F.concat(F.lit("C"), F.col("o_custkey"), F.lit("-"), F.year("o_orderdate"))
-    no_discount = F.col("o_orderpriority").isin("4-NOT SPECIFIED", "5-LOW")
-    base = source.withColumnRenamed("o_orderkey", "order_id").select(
+    base = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "order_id")
+    columns = [
         "order_id",
-        account.alias("customer_id"),
-        F.timestamp_add("MINUTE", (key % 1440).cast("int"), F.col("o_orderdate")).alias("order_placed_at"),
-        order_status().alias("order_status"),
-        F.when(~no_discount, F.col("o_orderpriority")).alias("discount_construct"),
-        F.col("o_totalprice").cast("decimal(18,2)").alias("total"),
-        F.when(key % 1000 == 0, 6.0).when(key % 8 == 0, (1 + key % 5).cast("double")).alias("rating"),
-        F.when(key % 40 == 0, "Wrong item").alias("customer_complaint_tag"),
-        "o_custkey",
-        "o_orderstatus",
-    )
+        "concat('C', o_custkey, '-', year(o_orderdate)) AS customer_id",
+        "timestampadd(MINUTE, int(order_id % 1440), o_orderdate) AS order_placed_at",
+        """CASE o_orderstatus WHEN 'F' THEN 'Delivered'
+             WHEN 'O' THEN CASE order_id % 10 WHEN 0 THEN 'Returned' WHEN 1 THEN 'Return cancelled'
+                           ELSE 'Delivered' END
+             ELSE CASE order_id % 3 WHEN 0 THEN 'Rejected' WHEN 1 THEN 'Timed out' ELSE 'Picked up' END
+           END AS order_status""",
+        "CASE WHEN o_orderpriority NOT IN ('4-NOT SPECIFIED', '5-LOW') THEN o_orderpriority END"
+        " AS discount_construct",
+        "CAST(o_totalprice AS decimal(18,2)) AS total",
+        "CASE WHEN order_id % 1000 = 0 THEN 6D WHEN order_id % 8 = 0 THEN double(1 + order_id % 5) END"
+        " AS rating",
+        "CASE WHEN order_id % 40 = 0 THEN 'Wrong item' END AS customer_complaint_tag",
+    ]
     if line:
-        main = _main_lines(spark, sf_dir)
-        base = (
-            base.join(main, F.col("order_id") == F.col("l_orderkey"), "left")
-            .withColumn("distance_km", _km())
-            .withColumn(
-                "kpt_duration_minutes",
-                F.when(key % 997 == 0, -F.col("size")).when(key % 50 != 0, F.col("kitchen_minutes")),
-            )
-            .withColumn("rider_wait_time_minutes", F.when(key % 53 != 0, F.col("wait_minutes")))
-        )
+        base = base.join(_main_lines(spark, sf_dir), "order_id", "left")
+        columns += [
+            "restaurant_id",
+            "restaurant_name",
+            f"CASE WHEN km_step IS NOT NULL THEN {KM} END AS distance_km",
+            "CASE WHEN order_id % 997 = 0 THEN -size WHEN order_id % 50 != 0 THEN kitchen_minutes END"
+            " AS kpt_duration_minutes",
+            "CASE WHEN order_id % 53 != 0 THEN wait_minutes END AS rider_wait_time_minutes",
+        ]
     if zone:
-        base = base.join(_zones(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"), "left")
-    helpers = ["o_custkey", "c_custkey", "l_orderkey", "kitchen_minutes", "wait_minutes", "size", "km_step"]
-    return base.drop(*helpers)
+        base = base.join(_zones(spark, sf_dir), "o_custkey", "left")
+        columns.append("subzone")
+    return base.selectExpr(*columns)
 
 
 def ops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,113 +106,94 @@ def ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Orders that never reached a rider keep their rows with everything else NULL.
     """
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_id"), "l_suppkey")
-    served = table(spark, sf_dir, "orders").select(
-        "o_orderkey", (F.col("o_orderstatus") != "P").alias("served")
+    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS order_id", "l_suppkey")
+    served = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS order_id", "o_orderstatus != 'P' AS served"
     )
-    main = _main_lines(spark, sf_dir).drop("restaurant_id", "restaurant_name")
-    supplier = F.when(F.col("order_id") % 40 == 0, F.col("l_suppkey")).otherwise(F.col("main_supplier"))
-    rows = (
-        lines.join(main, F.col("order_id") == F.col("l_orderkey"))
-        .join(served, F.col("order_id") == F.col("o_orderkey"))
-        .withColumn("supplier", supplier)
-        .withColumn("km", _km())
-        .withColumn("promised", promised_minutes(F.col("km")))
-        .withColumn(
-            "actual",
-            F.col("kitchen_minutes")
-            + F.col("wait_minutes")
-            + transit_minutes(F.col("km"))
-            + F.when(F.col("supplier") % 25 == 0, 14.0).otherwise(0.0),
+    timed = (
+        lines.join(_main_lines(spark, sf_dir), "order_id")
+        .join(served, "order_id")
+        .selectExpr(
+            "*",
+            "CASE WHEN order_id % 40 = 0 THEN l_suppkey ELSE main_supplier END AS supplier",
+            f"{KM} AS km",
+            "bround((38 + 3.2D * km) / 5) * 5 AS promised",
+            "kitchen_minutes + wait_minutes + greatest(3D, 6 + 2.3D * km)"
+            " + CASE WHEN supplier % 25 = 0 THEN 14D ELSE 0D END AS actual",
         )
     )
-
-    def if_served(value: Column, name: str) -> Column:
-        return F.when(F.col("served"), value).alias(name)
-
-    return rows.select(
+    partner = PARTNER_ID.format("supplier")
+    return timed.selectExpr(
         "order_id",
-        if_served(partner_id(F.col("supplier")), "partner_id"),
-        if_served(F.col("promised"), "promised_sla_minutes"),
-        if_served(F.col("actual"), "actual_fulfillment_minutes"),
-        if_served(late_flag(F.col("actual"), F.col("promised")), "is_late"),
+        f"CASE WHEN served THEN {partner} END AS partner_id",
+        "CASE WHEN served THEN promised END AS promised_sla_minutes",
+        "CASE WHEN served THEN actual END AS actual_fulfillment_minutes",
+        "CASE WHEN served THEN int(actual > promised) END AS is_late",
     )
 
 
 def ops_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The delivery rows as landed text, with the flag spelled ``1.0``."""
     rows = ops(spark, sf_dir)
-    flag = F.col("is_late").cast("double")
-    return rows.withColumn("is_late", flag).select(*(F.col(c).cast("string") for c in rows.columns))
+    return rows.selectExpr(
+        *(f"string({c}) AS {c}" for c in rows.columns if c != "is_late"),
+        "string(double(is_late)) AS is_late",
+    )
 
 
 def restaurants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outlets from all parts; the keys of some are misprinted, which orphans their orders."""
-    key = F.col("p_partkey")
-    return table(spark, sf_dir, "part").select(
-        F.when(key % 100 == 7, -key - 1).otherwise(key).cast("string").alias("restaurant_id"),
-        F.lower("p_brand").alias("restaurant_name"),
-        F.lower("p_type").alias("subzone"),
-        F.lit("metro city").alias("city"),
+    return table(spark, sf_dir, "part").selectExpr(
+        "string(CASE WHEN p_partkey % 100 = 7 THEN -p_partkey - 1 ELSE p_partkey END) AS restaurant_id",
+        "lower(p_brand) AS restaurant_name",
+        "lower(p_type) AS subzone",
+        "'metro city' AS city",
     )
 
 
-def partners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select(partner_id(F.col("s_suppkey")).alias("partner_id"))
+def partners(spark: SparkSession, sf_dir: str, condition: str = "true") -> DataFrame:
+    partner = PARTNER_ID.format("s_suppkey")
+    return table(spark, sf_dir, "supplier").where(condition).selectExpr(f"{partner} AS partner_id")
 
 
 def orders_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed orders: text columns with repeats, two time formats, untidy text and null tokens."""
-    clean = orders(spark, sf_dir, line=True, zone=True)
-    key = F.col("order_id")
-
-    def text(value: Column, token=None) -> Column:
-        shown = value.cast("string")
-        return shown if token is None else F.coalesce(shown, token)
-
-    km = F.col("distance_km")
-    packaging = 10 + key % 15
-    gold = F.when(key % 4 != 0, key % 3)
-    discounts = key % 50 + key % 7 + F.coalesce(gold, F.lit(0)) + key % 5
-    misprint = F.when(key % 641 == 0, 1).otherwise(0)
-    subtotal = (F.col("total") - packaging + discounts + misprint).cast("decimal(18,2)")
-    placed = F.col("order_placed_at")
-    rotating = F.when(key % 3 == 0, "NaN").when(key % 3 == 1, "null").otherwise("")
+    gold = "CASE WHEN order_id % 4 != 0 THEN order_id % 3 END"
+    discounts = f"order_id % 50 + order_id % 7 + coalesce({gold}, 0) + order_id % 5"
+    misprint = "CASE WHEN order_id % 641 = 0 THEN 1 ELSE 0 END"
+    packaging = "10 + order_id % 15"
+    rotating = "CASE order_id % 3 WHEN 0 THEN 'NaN' WHEN 1 THEN 'null' ELSE '' END"
     values = {
-        "restaurant_id": text(F.col("restaurant_id")),
-        "restaurant_name": F.when(
-            key % 25 == 1, F.concat(F.lit("  "), "restaurant_name", F.lit("  "))
-        ).otherwise(F.col("restaurant_name")),
-        "subzone": F.when(key % 25 == 0, F.upper("subzone")).otherwise(F.col("subzone")),
-        "city": F.lit("Metro City"),
-        "order_id": text(key),
-        "order_placed_at": F.when(key % 1013 == 0, "not a date")
-        .when(key % 20 == 0, F.date_format(placed, "yyyy-MM-dd HH:mm:ss"))
-        .otherwise(F.date_format(placed, "hh:mm a, MMMM dd yyyy")),
-        "delivery": F.lit("Platform Delivery"),
-        "distance": F.when(km < 1, "<1km").otherwise(F.concat(km.cast("int").cast("string"), F.lit("km"))),
-        "items_in_order": F.concat(text(1 + key % 4), F.lit(" x dish, sauce")),
-        "discount_construct": F.coalesce("discount_construct", F.lit("null")),
-        "bill_subtotal": text(subtotal),
-        "packaging_charges": text(packaging),
-        "restaurant_discount_promo": text(key % 50),
-        "restaurant_discount_flat": text(key % 7),
-        "gold_discount": text(gold, F.lit("NaN")),
-        "brand_pack_discount": text(key % 5),
-        "total": text(F.col("total")),
-        "rating": text(F.col("rating"), F.lit("")),
-        "kpt_duration_minutes": text(F.col("kpt_duration_minutes"), rotating),
-        "rider_wait_time_minutes": text(F.col("rider_wait_time_minutes"), F.lit("NULL")),
-        "order_ready_marked": F.when(key % 3 == 0, "Correctly")
-        .when(key % 3 == 1, "Incorrectly")
-        .otherwise("Missed"),
+        "restaurant_id": "string(restaurant_id)",
+        "restaurant_name": "CASE WHEN order_id % 25 = 1 THEN concat('  ', restaurant_name, '  ')"
+        " ELSE restaurant_name END",
+        "subzone": "CASE WHEN order_id % 25 = 0 THEN upper(subzone) ELSE subzone END",
+        "city": "'Metro City'",
+        "order_id": "string(order_id)",
+        "order_placed_at": "CASE WHEN order_id % 1013 = 0 THEN 'not a date'"
+        " WHEN order_id % 20 = 0 THEN date_format(order_placed_at, 'yyyy-MM-dd HH:mm:ss')"
+        " ELSE date_format(order_placed_at, 'hh:mm a, MMMM dd yyyy') END",
+        "order_status": "order_status",
+        "delivery": "'Platform Delivery'",
+        "distance": "CASE WHEN distance_km < 1 THEN '<1km' ELSE concat(int(distance_km), 'km') END",
+        "items_in_order": "concat(1 + order_id % 4, ' x dish, sauce')",
+        "discount_construct": "coalesce(discount_construct, 'null')",
+        "bill_subtotal": f"string(CAST(total - ({packaging}) + {discounts} + {misprint} AS decimal(18,2)))",
+        "packaging_charges": f"string({packaging})",
+        "restaurant_discount_promo": "string(order_id % 50)",
+        "restaurant_discount_flat": "string(order_id % 7)",
+        "gold_discount": f"coalesce(string({gold}), 'NaN')",
+        "brand_pack_discount": "string(order_id % 5)",
+        "total": "string(total)",
+        "rating": "coalesce(string(rating), '')",
+        "kpt_duration_minutes": f"coalesce(string(kpt_duration_minutes), {rotating})",
+        "rider_wait_time_minutes": "coalesce(string(rider_wait_time_minutes), 'NULL')",
+        "order_ready_marked": "CASE order_id % 3 WHEN 0 THEN 'Correctly' WHEN 1 THEN 'Incorrectly'"
+        " ELSE 'Missed' END",
+        "customer_complaint_tag": "customer_complaint_tag",
+        "customer_id": "customer_id",
     }
-    same = {"order_status", "customer_complaint_tag", "customer_id"}
-    copies = F.sequence(F.lit(1), F.when(key % 500 == 0, 2).otherwise(1))
-
-    def column(name: str) -> Column:
-        if name in values:
-            return values[name].alias(name)
-        return F.col(name) if name in same else F.lit(None).cast("string").alias(name)
-
-    return clean.select(*(column(c) for c in ORDERS), F.explode(copies).alias("_copy")).drop("_copy")
+    copies = "explode(sequence(1, CASE WHEN order_id % 500 = 0 THEN 2 ELSE 1 END)) AS _copy"
+    clean = orders(spark, sf_dir, line=True, zone=True)
+    texts = [f"{values.get(c, 'string(NULL)')} AS {c}" for c in ORDERS]
+    return clean.selectExpr(*texts, copies).drop("_copy")

@@ -321,7 +321,7 @@ def c3_to_c8_ops_fact(spark, d):
 
 def _slow_partners(spark, d):
     """Partners with a negative balance stand for the slow ones."""
-    return fx.table(spark, d, "supplier").where("s_acctbal < 0").select(fx.partner_id(F.col("s_suppkey")).alias("partner_id"))
+    return fx.partners(spark, d, "s_acctbal < 0")
 
 
 @query
@@ -678,4 +678,4 @@ def e22_order_frequency(spark, d):
 
 @query
 def d9_outliers_from_landing(spark, d):
-    return flows.outliers_from_landing(fx.orders_raw(spark, d), fx.restaurants(spark, d), fx.ops_raw(spark, d))
+    return flows.outliers_from_landing(fx.orders_raw(spark, d), fx.ops_raw(spark, d))
