@@ -11,19 +11,19 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder.
+    """The cluster's shared scratch folder, as the session names it.
 
     Only a local master, which has no other machines, may fall back to a folder of
     this machine.
     """
-    root = spark.conf.get(_SETTING, None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {_SETTING} to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="orderloom-")
-    spark.conf.set(_SETTING, root)
-    return root
+    context = spark.sparkContext
+    root = spark.conf.get(_SETTING, None) or context.getCheckpointDir()
+    if root is None:
+        if not context.master.startswith("local"):
+            raise ValueError(f"set {_SETTING} to a folder that every executor can reach")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="orderloom-"))
+        root = context.getCheckpointDir()
+    return root.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
