@@ -164,7 +164,10 @@ def assign_by_share(rows: DataFrame, row_key: str, counts: DataFrame, key: str)
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
-    """``n`` rows chosen by the hash of their key: the same rows on every run."""
+    """``n`` rows chosen by the hash of their key: the same rows on every run.
+
+    Each task keeps its best ``n`` and those meet in one task, so ``n`` is for small samples.
+    """
     draw = F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)))
     return df.orderBy(draw, key).limit(n)
 

@@ -47,7 +47,11 @@ def parse_orders(orders_raw: DataFrame) -> DataFrame:
 
 
 def dedup_orders(orders: DataFrame) -> DataFrame:
-    """One row per order: the latest placement, then the longest known kitchen time."""
+    """One row per order: the latest placement, then the longest known kitchen time.
+
+    Remaining ties look at every column given, so select the columns a result needs first:
+    the others are then neither read nor shuffled.
+    """
     return keep_first(
         orders,
         ["order_id"],

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from orderloom.operators import delivery, staging
+from orderloom.operators import customers, delivery, staging
 from orderloom.sources.files import normalize_nulls, typed
 
 
@@ -37,3 +37,13 @@ def outliers_from_landing(orders_raw: DataFrame, ops_raw: DataFrame) -> DataFram
     known = normalize_nulls(orders_raw.select("order_id")).distinct()
     segments = delivery.delivery_segments(typed(known, "orders_raw"), resolved_deliveries(ops_raw))
     return delivery.retest_on_clean_baseline(delivery.partner_outliers(segments))
+
+
+def retention_from_landing(orders_raw: DataFrame) -> DataFrame:
+    """Retention matrix from landing orders.
+
+    Only the columns that cleaning decides by and the result needs are read.
+    """
+    needed = ["order_id", "order_placed_at", "kpt_duration_minutes", "customer_id"]
+    parsed = staging.parse_orders(normalize_nulls(orders_raw.select(*needed)))
+    return customers.retention_matrix(staging.dedup_orders(parsed))

@@ -564,7 +564,7 @@ def e3_retention_matrix(spark, d):
 
 @query
 def e3_retention_from_landing(spark, d):
-    return cust.retention_matrix(_staged(spark, d))
+    return flows.retention_from_landing(fx.orders_raw(spark, d))
 
 
 @query
