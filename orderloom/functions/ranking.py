@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderloom.functions.scalars import with_group_stats
 from orderloom.functions.storage import freeze
 
 _SLOT, _SLICE = "_slot", "_slice"
@@ -98,21 +99,29 @@ def with_running_total(
     )
 
 
-def exact_median(df: DataFrame, column: str, out_col: str) -> DataFrame:
-    """One-row table with the exact median of the non-NULL values.
+def exact_medians(df: DataFrame, *columns: str) -> DataFrame:
+    """One-row table with the exact median of the non-NULL values of each numeric column.
 
-    Works on counts per distinct value, so a value that fills a third of the table is one row.
+    One pass over ``df`` counts every distinct value, so a value that fills a third of the
+    table becomes one row; the rest works on those counts. Runs a job.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
-    placed = with_running_total(counts, [F.col(column).asc()], "_n", "_before", "_all")
+    doubles = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
+    counts = (
+        doubles.unpivot([], list(columns), "name", "value")
+        .where(F.col("value").isNotNull())
+        .groupBy("name", "value")
+        .agg(F.count("*").alias("_n"))
+    )
+    order = [F.col("name").asc(), F.col("value").asc()]
+    placed = with_running_total(counts, order, "_n", "_before", "_everything")
+    bounds = placed.groupBy("name").agg(F.min("_before").alias("_start"), F.sum("_n").alias("_all"))
+    before = F.col("_before") - F.col("_start")
     lower, upper = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
 
-    def holds(rank: Column) -> Column:
-        return (F.col("_before") < rank) & (rank <= F.col("_before") + F.col("_n"))
+    def at(column: str, rank: Column) -> Column:
+        hit = (F.col("name") == column) & (before < rank) & (rank <= before + F.col("_n"))
+        return F.max(F.when(hit, F.col("value")))
 
-    return placed.agg(
-        (
-            (F.max(F.when(holds(lower), F.col(column))) + F.max(F.when(holds(upper), F.col(column))))
-            / 2
-        ).alias(out_col)
+    return with_group_stats(placed, ["name"], bounds).agg(
+        *(((at(c, lower) + at(c, upper)) / 2).alias(c) for c in columns)
     )

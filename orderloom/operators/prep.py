@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.functions.calendar import month_index, month_label, month_of_index, month_start
-from orderloom.functions.ranking import exact_median, with_rank, with_running_total
+from orderloom.functions.ranking import exact_medians, with_rank, with_running_total
 from orderloom.functions.rates import WIDE, count_where, pct
 from orderloom.functions.scalars import with_scalars
 from orderloom.operators.customers import cohorts, customer_months
@@ -49,12 +49,11 @@ def transit_minutes(km: Column) -> Column:
 
 
 def impute_median(df: DataFrame, *columns: str) -> DataFrame:
-    """Fill missing values with the exact median of their column. Runs jobs per column."""
-    filled = df
-    for c in columns:
-        filled = with_scalars(filled, exact_median(df, c, f"_median_{c}"))
-        filled = filled.withColumn(c, F.coalesce(F.col(c), F.col(f"_median_{c}"))).drop(f"_median_{c}")
-    return filled
+    """Fill missing values with the exact median of their column. Runs a job."""
+    medians = exact_medians(df, *columns)
+    named = medians.select(*(F.col(c).alias(f"_median_{c}") for c in columns))
+    filled = {c: F.coalesce(F.col(c), F.col(f"_median_{c}")) for c in columns}
+    return with_scalars(df, named).withColumns(filled).drop(*named.columns)
 
 
 def fulfillment_minutes() -> Column:

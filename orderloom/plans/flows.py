@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from orderloom.operators import customers, delivery, staging
 from orderloom.sources.files import normalize_nulls, typed
 
+RETENTION_COLUMNS = ("order_id", "order_placed_at", "kpt_duration_minutes", "customer_id")
+
 
 def staged_orders(orders_raw: DataFrame, restaurants: DataFrame) -> DataFrame:
     return staging.stage_orders(normalize_nulls(orders_raw), normalize_nulls(restaurants))
@@ -44,6 +46,6 @@ def retention_from_landing(orders_raw: DataFrame) -> DataFrame:
 
     Only the columns that cleaning decides by and the result needs are read.
     """
-    needed = ["order_id", "order_placed_at", "kpt_duration_minutes", "customer_id"]
-    parsed = staging.parse_orders(normalize_nulls(orders_raw.select(*needed)))
+    needed = orders_raw.select(*RETENTION_COLUMNS)
+    parsed = staging.parse_orders(normalize_nulls(needed))
     return customers.retention_matrix(staging.dedup_orders(parsed))

@@ -42,12 +42,14 @@ def test_running_total(spark):
 
 
 @pytest.mark.parametrize("values", [[1.0], [1.0, 2.0], [5.0] * 7 + [1.0, 9.0], [3.0, None, 1.0, 2.0, None, 10.0]])
-def test_median(spark, values):
-    df = spark.createDataFrame([(v,) for v in values], "v double")
+def test_medians_of_two_columns(spark, values):
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v double, w int")
     known = [v for v in values if v is not None]
-    assert ranking.exact_median(df, "v", "m").first().m == np.median(known)
+    row = ranking.exact_medians(df, "v", "w").first()
+    assert (row.v, row.w) == (np.median(known), np.median(range(len(values))))
 
 
 def test_median_of_nothing(spark):
-    df = spark.createDataFrame([(None,)], "v double")
-    assert ranking.exact_median(df, "v", "m").first().m is None
+    df = spark.createDataFrame([(None, 1.0)], "v double, w double")
+    row = ranking.exact_medians(df, "v", "w").first()
+    assert (row.v, row.w) == (None, 1.0)

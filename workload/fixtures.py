@@ -156,8 +156,16 @@ def partners(spark: SparkSession, sf_dir: str, condition: str = "true") -> DataF
     return table(spark, sf_dir, "supplier").where(condition).selectExpr(f"{partner} AS partner_id")
 
 
-def orders_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed orders: text columns with repeats, two time formats, untidy text and null tokens."""
+FROM_LINE = {"restaurant_id", "restaurant_name", "distance", "kpt_duration_minutes", "rider_wait_time_minutes"}
+
+
+def orders_raw(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Landed orders: text columns with repeats, two time formats, untidy text and null tokens.
+
+    A landing table is one wide file whose unused columns cost nothing; with ``columns`` the
+    joins behind unused ones are left out here too.
+    """
+    columns = columns or tuple(ORDERS)
     gold = "CASE WHEN order_id % 4 != 0 THEN order_id % 3 END"
     discounts = f"order_id % 50 + order_id % 7 + coalesce({gold}, 0) + order_id % 5"
     misprint = "CASE WHEN order_id % 641 = 0 THEN 1 ELSE 0 END"
@@ -194,6 +202,6 @@ def orders_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         "customer_id": "customer_id",
     }
     copies = "explode(sequence(1, CASE WHEN order_id % 500 = 0 THEN 2 ELSE 1 END)) AS _copy"
-    clean = orders(spark, sf_dir, line=True, zone=True)
-    texts = [f"{values.get(c, 'string(NULL)')} AS {c}" for c in ORDERS]
+    clean = orders(spark, sf_dir, line=bool(FROM_LINE & set(columns)), zone="subzone" in columns)
+    texts = [f"{values.get(c, 'string(NULL)')} AS {c}" for c in columns]
     return clean.selectExpr(*texts, copies).drop("_copy")

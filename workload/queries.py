@@ -28,8 +28,8 @@ def query(fn):
 # -- frames ------------------------------------------------------------------------------
 
 
-def _landed(spark: SparkSession, d: str) -> DataFrame:
-    return files.normalize_nulls(fx.orders_raw(spark, d))
+def _landed(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return files.normalize_nulls(fx.orders_raw(spark, d, *columns))
 
 
 def _staged(spark: SparkSession, d: str) -> DataFrame:
@@ -187,18 +187,18 @@ def b2_staged_orders(spark, d):
 
 @query
 def b3_text_standardization(spark, d):
-    orders = staging.parse_orders(_landed(spark, d))
+    orders = staging.parse_orders(_landed(spark, d, *staging.TIDIED))
     return orders.groupBy("restaurant_name", "subzone", "city").agg(F.count("*").alias("order_rows"))
 
 
 @query
 def b4_timestamp_parse(spark, d):
-    return staging.parse_orders(_landed(spark, d)).select("order_id", "order_placed_at")
+    return staging.parse_orders(_landed(spark, d, "order_id", "order_placed_at"))
 
 
 @query
 def b5_distance_parse(spark, d):
-    return staging.parse_orders(_landed(spark, d)).select("order_id", "distance_km")
+    return staging.parse_orders(_landed(spark, d, "order_id", "distance"))
 
 
 @query
@@ -237,12 +237,13 @@ def b12_quality_report(spark, d):
 
 @query
 def b13_bill_identity(spark, d):
-    return quality.bill_violations(staging.parse_orders(_landed(spark, d)))
+    bill = ("bill_subtotal", "packaging_charges", *quality.DISCOUNTS, "total")
+    return quality.bill_violations(staging.parse_orders(_landed(spark, d, *bill)))
 
 
 @query
 def b14_drop_unparseable(spark, d):
-    kept = staging.drop_unparseable(staging.parse_orders(_landed(spark, d)))
+    kept = staging.drop_unparseable(staging.parse_orders(_landed(spark, d, "order_placed_at")))
     return kept.groupBy(month_label(F.col("order_placed_at")).alias("order_month")).agg(
         F.count("*").alias("order_rows")
     )
@@ -564,7 +565,7 @@ def e3_retention_matrix(spark, d):
 
 @query
 def e3_retention_from_landing(spark, d):
-    return flows.retention_from_landing(fx.orders_raw(spark, d))
+    return flows.retention_from_landing(fx.orders_raw(spark, d, *flows.RETENTION_COLUMNS))
 
 
 @query
@@ -678,4 +679,4 @@ def e22_order_frequency(spark, d):
 
 @query
 def d9_outliers_from_landing(spark, d):
-    return flows.outliers_from_landing(fx.orders_raw(spark, d), fx.ops_raw(spark, d))
+    return flows.outliers_from_landing(fx.orders_raw(spark, d, "order_id"), fx.ops_raw(spark, d))
