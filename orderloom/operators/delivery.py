@@ -53,14 +53,14 @@ def resolve_assignments(ops: DataFrame) -> DataFrame:
 def resolve_repeated(ops: DataFrame) -> DataFrame:
     """Like ``resolve_assignments`` without the count, straight from rows with repeats.
 
-    An order changed hands when its lowest and highest partner differ. Both are plain
-    extremes, so repeats need no separate pass: one shuffle, combined before it.
+    An order changed hands when its highest partner differs from the lowest, which is the
+    one kept. Both are plain extremes, so repeats need no separate pass: one shuffle,
+    combined before it.
     """
-    partner = F.col("partner_id")
     resolved = ops.groupBy("order_id").agg(
-        _lowest_partner(ops).alias("_kept"), F.min(partner).alias("_lo"), F.max(partner).alias("_hi")
+        _lowest_partner(ops).alias("_kept"), F.max("partner_id").alias("_highest")
     )
-    changed = F.coalesce(F.col("_lo") != F.col("_hi"), F.lit(False))
+    changed = F.coalesce(F.col("_highest") != F.col("_kept.partner_id"), F.lit(False))
     return _unpack(resolved, ops, changed.alias("was_reassigned"))
 
 

@@ -39,7 +39,7 @@ def test_null_tokens_and_text(spark):
     assert values(spark, ["", "NaN", "null", "NULL", "Nan", "x", None], null_if_token) == [
         None, None, None, None, "Nan", "x", None,
     ]
-    assert values(spark, ["  Sector 4 ", "DLF", None], tidy_text) == ["sector 4", "dlf", None]
+    assert values(spark, ["  North Side ", "EAST", None], tidy_text) == ["north side", "east", None]
 
 
 def test_whole_numbers_in_both_spellings(spark):

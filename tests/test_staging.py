@@ -74,7 +74,7 @@ def test_unparseable_rows_can_be_dropped(spark):
 
 
 def test_quality_report_counts_planted_defects(spark):
-    raw = landed(spark, order("1"), order("1"), order("2", city=" Delhi"), order("3", rating="6"),
+    raw = landed(spark, order("1"), order("1"), order("2", city=" Metro"), order("3", rating="6"),
                  order("4", order_placed_at="junk", kpt_duration_minutes=None),
                  order("5", order_placed_at="1:05 AM, March 5 2025", restaurant_id="7"))
     ops = spark.createDataFrame([(1, "A"), (1, "B"), (2, "A")], "order_id bigint, partner_id string")
