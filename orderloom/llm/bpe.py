@@ -26,6 +26,7 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ from orderloom.llm.common import fresh, text_of
 
 #: Fixed value: the splitting pattern of this byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_KEPT_PIECES, _KEPT_LENGTH = 400_000, 48
+_KEPT_PIECES, _KEPT_LENGTH, _KEPT_PAIRS = 250_000, 48, 250_000
 
 
 def _byte_characters() -> dict[str, int]:
@@ -44,22 +45,49 @@ def _byte_characters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class ByteBPE:
+class Vocabulary:
+    """The bytes of every id: one buffer and an offset table. All that decoding needs."""
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
+            self._spec = json.load(file)
         byte_of = _byte_characters()
-        vocab = spec["model"]["vocab"]
-        raw = {token: bytes(byte_of[c] for c in token) for token in vocab}
-        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        vocab = self._spec["model"]["vocab"]
+        self.special = {t["content"]: t["id"] for t in self._spec["added_tokens"]}
         size = 1 + max([*vocab.values(), *self.special.values()])
-        self.bytes_of: list[bytes] = [b""] * size
+        bytes_of = [b""] * size
         for token, i in vocab.items():
-            self.bytes_of[i] = raw[token]
+            bytes_of[i] = bytes(byte_of[c] for c in token)
+        self.id_of = {b: i for i, b in enumerate(bytes_of) if b}
         for content, i in self.special.items():
-            self.bytes_of[i] = content.encode()
-        id_of = {raw[token]: i for token, i in vocab.items()}
+            bytes_of[i] = content.encode()
+        self.sizes = [len(b) for b in bytes_of]
+        self._buffer = np.frombuffer(b"".join(bytes_of), np.uint8)
+        self._offsets = np.concatenate([[0], np.cumsum(self.sizes)])
+
+    def decode_all(self, flat: np.ndarray, lengths: np.ndarray) -> list[str]:
+        """Texts of many sequences: ``flat`` holds their ids, ``lengths`` how many each has."""
+        starts = self._offsets[flat]
+        sizes = self._offsets[flat + 1] - starts
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        # position of every output byte in the buffer: its token's offset plus its place in it
+        source = np.repeat(starts - (ends - sizes), sizes) + np.arange(total)
+        data = self._buffer[source].tobytes()
+        borders = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])].tolist()
+        return [
+            data[a:b].decode("utf-8", "replace")
+            for a, b in zip(borders[:-1], borders[1:], strict=True)
+        ]
+
+
+class ByteBPE(Vocabulary):
+    def __init__(self, path: str):
+        super().__init__(path)
+        model = self._spec.pop("model")
+        self._spec = None
+        vocab, size = model["vocab"], len(self.sizes)
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         # rank of the merge that makes a token (-1: a single byte), its two halves, and the pairs
         self._rank = [-1] * size
         self._left, self._right = [-1] * size, [-1] * size
@@ -67,19 +95,15 @@ class ByteBPE:
         for rank, (a, b) in enumerate(merges):
             left, right, whole = vocab[a], vocab[b], vocab[a + b]
             self._made[left, right] = rank
-            if self._rank[whole] < 0 and len(raw[a + b]) > 1:
+            if self._rank[whole] < 0:
                 self._rank[whole], self._left[whole], self._right[whole] = rank, left, right
         self._shorter = [-1] * size
-        for token, i in id_of.items():
-            for end in range(len(token) - 1, 0, -1):
-                if token[:end] in id_of:
-                    self._shorter[i] = id_of[token[:end]]
-                    break
         self._automaton = ahocorasick.Automaton()
-        for token, i in id_of.items():
+        for token, i in self.id_of.items():
+            shorter = (self.id_of.get(token[:end], -1) for end in range(len(token) - 1, 0, -1))
+            self._shorter[i] = next((t for t in shorter if t >= 0), -1)
             self._automaton.add_word(token.decode("latin-1"), (len(token) - 1, i))
         self._automaton.make_automaton()
-        self._sizes = [len(b) for b in self.bytes_of]
         self._compatible: dict[tuple[int, int], bool] = {}
         self._pieces: dict[str, tuple[int, ...]] = {}
         self._find = regex.compile(PATTERN).findall
@@ -88,15 +112,12 @@ class ByteBPE:
             if self.special
             else None
         )
-        # decoding: one buffer and the offset of each id
-        self._buffer = np.frombuffer(b"".join(self.bytes_of), np.uint8)
-        self._offsets = np.concatenate([[0], np.cumsum(self._sizes)])
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both by rank leaves exactly these two tokens."""
         known = self._compatible.get((left, right))
         if known is None:
-            if len(self._compatible) > 2_000_000:
+            if len(self._compatible) >= _KEPT_PAIRS:
                 self._compatible.clear()
             known = self._compatible[left, right] = self._check(left, right)
         return known
@@ -124,7 +145,7 @@ class ByteBPE:
         longest = [-1] * n
         for end, (back, token) in self._automaton.iter(piece.decode("latin-1")):
             longest[end - back] = token  # ends rise, so the longest match of a start is its last
-        sizes, shorter, known = self._sizes, self._shorter, self._compatible
+        sizes, shorter, known = self.sizes, self._shorter, self._compatible
         dead = set()  # positions that no encoding passes through
         out: list[int] = []
         at, last = 0, -1
@@ -177,35 +198,25 @@ class ByteBPE:
                 self._ids(part, out)
         return out
 
-    def decode_all(self, flat: np.ndarray, lengths: np.ndarray) -> list[str]:
-        """Texts of many sequences: ``flat`` holds their ids, ``lengths`` how many each has."""
-        starts = self._offsets[flat]
-        sizes = self._offsets[flat + 1] - starts
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        # position of every output byte in the buffer: its token's offset plus its place in it
-        source = np.repeat(starts - (ends - sizes), sizes) + np.arange(total)
-        data = self._buffer[source].tobytes()
-        borders = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])].tolist()
-        return [
-            data[a:b].decode("utf-8", "replace")
-            for a, b in zip(borders[:-1], borders[1:], strict=True)
-        ]
-
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
-#: Bytes of text that are decoded at a time, which bounds memory for very long texts.
-_DECODE_BYTES = 4_000_000
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
+#: Bytes of text that are encoded or decoded at a time, which bounds memory for very long texts.
+_CHUNK_BYTES = 2_000_000
 
 
 def _chunks(column: pa.Array, size_of) -> Iterator[tuple[int, int]]:
     start = held = 0
     for i, size in enumerate(size_of):
-        if held and held + size > _DECODE_BYTES:
+        if held and held + size > _CHUNK_BYTES:
             yield start, i
             start, held = i, 0
         held += size
@@ -220,7 +231,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
         bpe = tokenizer(path)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
-            for a, b in _chunks(texts, [len(t) for t in texts.to_pylist()]):
+            for a, b in _chunks(texts, pc.binary_length(texts).to_pylist()):
                 ids = pa.array([bpe.encode(t) for t in texts[a:b].to_pylist()], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i)[a:b] for i in range(batch.num_columns - 1)), ids],
@@ -237,13 +248,13 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: str =
     """Add the text of every id sequence; null ids give an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(path)
+        known = vocabulary(path)
         for batch in batches:
             ids = batch.column(batch.num_columns - 1)
             lengths = np.diff(ids.offsets.to_numpy())
             for a, b in _chunks(ids, (lengths * 4).tolist()):
                 part = ids[a:b]
-                texts = bpe.decode_all(part.flatten().to_numpy().astype(np.int64), lengths[a:b])
+                texts = known.decode_all(part.flatten().to_numpy().astype(np.int64), lengths[a:b])
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i)[a:b] for i in range(batch.num_columns - 1)), pa.array(texts, pa.string())],
                     names=[*batch.schema.names[:-1], text_col],
