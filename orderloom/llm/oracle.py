@@ -3,6 +3,46 @@
 SPACE = r"[\x20\x09-\x0D]"
 
 STATEMENTS = {
+    "op3_source_mix": r"""
+WITH d AS (
+  SELECT doc_id, coalesce('s' || source, 't') AS source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS place,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2 * CAST(sum(size) AS BIGINT) AS most,
+         CAST([5, 2, 1][(row_number() OVER (ORDER BY source) - 1) % 3 + 1] AS BIGINT) AS weight
+  FROM d GROUP BY source),
+w AS (
+  SELECT *, sum(source_size) OVER () * 3 / 2 AS budget, sum(weight) OVER () AS weight_total,
+         coalesce(sum(most) OVER o, 0) AS most_before, coalesce(sum(weight) OVER o, 0) AS weight_before
+  FROM s WINDOW o AS (ORDER BY most / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, most * (weight_total - weight_before) <= weight * (budget - most_before) AS stops FROM w),
+t AS (
+  SELECT source, source_size, budget,
+         CASE WHEN stops THEN CAST(most AS DOUBLE)
+              ELSE weight * (budget - sum(CASE WHEN stops THEN most ELSE 0 END) OVER ())
+                   / (weight_total - sum(CASE WHEN stops THEN weight ELSE 0 END) OVER ()) END AS target
+  FROM f),
+q AS (
+  SELECT d.*, source_size, target, budget, r.round,
+         coalesce(sum(size) OVER (PARTITION BY source, r.round ORDER BY place, doc_id, size
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+           + r.round * source_size AS base
+  FROM d JOIN t USING (source) CROSS JOIN (VALUES (0), (1)) r(round)),
+p AS (SELECT *, greatest(least(size, floor(target) - base), 0) AS early FROM q),
+v AS (
+  SELECT *, early AS words, 0 AS part, (base + early) / target AS finish FROM p WHERE early > 0
+  UNION ALL
+  SELECT *, size - early, 1, (base + size) / target FROM p WHERE size > early),
+c AS (
+  SELECT doc_id, words, budget, coalesce(sum(words) OVER (
+    ORDER BY finish, source, place, doc_id, size, round, part
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM v),
+g AS (SELECT doc_id, sum(least(words, greatest(floor(budget) - before, 0))) AS got FROM c GROUP BY doc_id)
+SELECT d.doc_id, size, source_size, target, CAST(coalesce(got, 0) AS BIGINT) AS taken
+FROM d JOIN t USING (source) LEFT JOIN g ON g.doc_id = d.doc_id
+""",
     "op9_exact_dedup": rf"""
 WITH rows AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars,
