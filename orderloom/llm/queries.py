@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm import bpe, exact_dedup, mixing, toxicity
+from orderloom.llm import bpe, exact_dedup, mixing, toxicity, warc
 from orderloom.llm.common import table
 
 
@@ -49,9 +49,15 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.resolved_records(spark, path)
+
+
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_source_mix": op3_source_mix,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_warc_revisits": op10_warc_revisits,
 }
