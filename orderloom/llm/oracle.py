@@ -42,6 +42,17 @@ c AS (
 g AS (SELECT doc_id, sum(least(words, greatest(floor(budget) - before, 0))) AS got FROM c GROUP BY doc_id)
 SELECT d.doc_id, size, source_size, target, CAST(coalesce(got, 0) AS BIGINT) AS taken
 FROM d JOIN t USING (source) LEFT JOIN g ON g.doc_id = d.doc_id
+""",
+    "op6_top_k": r"""
+WITH v AS (
+  SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS e, row_number() OVER () AS r
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.r AS query, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM t WHERE rank <= 5
 """,
     "op9_exact_dedup": rf"""
 WITH rows AS (
