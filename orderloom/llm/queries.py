@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm import bpe, exact_dedup, mixing, topk, toxicity, warc
+from orderloom.llm import bpe, exact_dedup, mixing, pii, topk, toxicity, warc
 from orderloom.llm.common import table
 
 
@@ -32,6 +32,11 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     whole = topk.integer_vectors(vectors, "embedding", 256)
@@ -63,6 +68,7 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_source_mix": op3_source_mix,
+    "op5_pii": op5_pii,
     "op6_top_k": op6_top_k,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_exact_dedup": op9_exact_dedup,
