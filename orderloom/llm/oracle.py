@@ -1,8 +1,44 @@
 """DuckDB SQL of the text operators that SQL can express."""
 
+from orderloom.llm.licenses import KEYWORDS, RULES, SENTENCES
+
 SPACE = r"[\x20\x09-\x0D]"
 
+
+def _licenses() -> str:
+    cases = " ".join(f"WHEN regexp_matches(s, '{pattern}') THEN '{name}'" for name, pattern in SENTENCES)
+    steps, last = [], "s0"
+    for i, (name, run) in enumerate(RULES, 1):
+        ids = "".join(f"<{x}>" for x in run)
+        steps.append(
+            f"s{i} AS (SELECT doc_id, sentence_ids, CASE WHEN contains(rest, '{ids}') THEN list_append(found, '{name}') "
+            f"ELSE found END AS found, replace(rest, '{ids}', '|') AS rest FROM {last})"
+        )
+        last = f"s{i}"
+    return rf"""
+WITH c AS (
+  SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '{SPACE}+', ' ', 'g'),
+                              '([.;:!?]) ', '\1' || chr(10), 'g'), chr(10)) AS cut
+  FROM documents),
+n AS (
+  SELECT doc_id, list_filter(list_transform(cut, lambda s: trim(regexp_replace(regexp_replace(
+           translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9.]+', ' ', 'g'),
+           '[.]+( |$)', ' ', 'g'), ' ')), lambda s: regexp_matches(s, '{KEYWORDS}')) AS kept
+  FROM c),
+i AS (SELECT doc_id, list_transform(kept, lambda s: CASE {cases} ELSE '?' END) AS sentence_ids FROM n),
+s0 AS (
+  SELECT doc_id, sentence_ids, CAST([] AS VARCHAR[]) AS found,
+         coalesce(array_to_string(list_transform(sentence_ids, lambda x: '<' || x || '>'), ''), '') AS rest
+  FROM i),
+{", ".join(steps)}
+SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(found)), ','), '') AS licenses,
+       coalesce(array_to_string(sentence_ids, ','), '') AS sentence_ids,
+       CAST(len(list_filter(regexp_split_to_array(rest, '[|<>]+'), lambda s: s <> '')) AS BIGINT) AS unmatched
+FROM {last}
+"""
+
 STATEMENTS = {
+    "op1_licenses": _licenses(),
     "op3_source_mix": r"""
 WITH d AS (
   SELECT doc_id, coalesce('s' || source, 't') AS source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS place,
