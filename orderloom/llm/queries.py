@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm import bpe, exact_dedup, licenses, mixing, pii, topk, toxicity, warc
+from orderloom.llm import bpe, exact_dedup, jaccard, licenses, mixing, pii, topk, toxicity, warc
 from orderloom.llm.common import table
 
 
@@ -53,6 +53,11 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(whole, F.col("vec_id") % 50 == 0, 5)
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.near_duplicates(docs, words=4, similarity=(85, 100)).drop("key")
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = vocabulary()
@@ -81,6 +86,7 @@ QUERIES = {
     "op3_source_mix": op3_source_mix,
     "op5_pii": op5_pii,
     "op6_top_k": op6_top_k,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_warc_revisits": op10_warc_revisits,
