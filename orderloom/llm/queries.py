@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm import bpe, exact_dedup, jaccard, licenses, mixing, pii, topk, toxicity, warc
+from orderloom.llm import bpe, exact_dedup, jaccard, licenses, mixing, pii, pitman_yor, topk, toxicity, warc
 from orderloom.llm.common import table
 
 
@@ -42,6 +42,11 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pitman_yor.score(docs, toxicity.fold("doc_id", 7) == 2)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
@@ -84,6 +89,7 @@ QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_toxicity": op2_toxicity,
     "op3_source_mix": op3_source_mix,
+    "op4_pitman_yor": op4_pitman_yor,
     "op5_pii": op5_pii,
     "op6_top_k": op6_top_k,
     "op7_near_duplicates": op7_near_duplicates,
