@@ -154,7 +154,7 @@ def _mix(docs, weights, share, repeats, id_col, text_col, source_col) -> tuple[D
             F.floor(F.coalesce("got", F.lit(0)) / F.col("rows")).cast("long").alias("taken"),
         )
     )
-    return rows, checked(taken, "mix")
+    return rows, checked(taken, "mix", most=100_000)
 
 
 def mixed_documents(
@@ -181,7 +181,7 @@ def mixed_documents(
     return (
         docs.withColumns({place: _source(source_col), words: word_count(text_col)})
         .join(
-            checked(wanted.where(F.col(copies) > 0), "copies"),
+            checked(wanted.where(F.col(copies) > 0), "copies", most=100_000),
             [
                 F.col(place) == F.col(source),
                 F.col(words) == F.col(size),
