@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 
 
+@cache
+def _local_folder() -> str:
+    """A folder of this machine, for local masters; the session's settings stay as they are."""
+    return tempfile.mkdtemp(prefix="orderloom-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared scratch folder, as the session names it.
 
@@ -21,8 +28,7 @@ def shared_folder(spark: SparkSession) -> str:
     if root is None:
         if not context.master.startswith("local"):
             raise ValueError(f"set {_SETTING} to a folder that every executor can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="orderloom-"))
-        root = context.getCheckpointDir()
+        root = _local_folder()
     return root.rstrip("/")
 
 
@@ -30,13 +36,21 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/orderloom/{label}-{uuid.uuid4().hex}"
 
 
-def freeze(df: DataFrame, label: str) -> DataFrame:
+def freeze(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet and return a scan of the written files.
 
     Later uses read files instead of recomputing the plan, keep column pruning, and
-    do not depend on any executor that took part in the write.
+    do not depend on any executor that took part in the write. The files live as long as results
+    are read from them: ``path`` puts them into a folder of the caller's, ``release`` ends all others.
     """
     spark = df.sparkSession
-    path = new_path(spark, label)
+    path = path or new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete everything this library has written to the shared folder. Results that were not
+    computed to their end by then cannot be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/orderloom")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,8 +1,9 @@
 """Customer analyses: cohorts, retention, RFM, promotion dependency.
 
-Every analysis groups the orders by customer once. A customer's active months travel as
-a set inside that grouping: its size is bounded by the calendar, and it is merged before
-the shuffle, so even a customer with a third of all orders is small.
+Every analysis groups the orders by customer. Retention first reduces them to one row per customer
+and active month, in the task that reads them, so even a customer with a third of all orders is
+small. The split by first order carries the months as a set instead (its size is bounded by the
+calendar), because the first order needs the same grouping.
 """
 
 from __future__ import annotations
@@ -59,6 +60,17 @@ def customer_months(orders: DataFrame, *more: Column) -> DataFrame:
     )
 
 
+def active_months(orders: DataFrame) -> DataFrame:
+    """One row per (customer, active month) with the customer's first month; undated orders have
+    month NULL, orders without customer are one customer.
+
+    Orders hash to (customer, month) in the task that reads them, in buffers of fixed width; only
+    those far fewer rows are gathered by customer.
+    """
+    months = orders.select("customer_id", month_index(F.col(_PLACED)).alias("month")).distinct()
+    return months.withColumn("cohort_index", F.min("month").over(Window.partitionBy("customer_id")))
+
+
 def _activity(per_customer: DataFrame, *keep: str) -> DataFrame:
     """One row per (customer, active month) as months since the first; undated orders give NULL."""
     undated = F.when(F.col("undated_orders") > 0, F.array(F.lit(None).cast("int")))
@@ -95,8 +107,9 @@ def retention_matrix(orders: DataFrame) -> DataFrame:
     Every customer is active in its first month, so the size of a cohort is its count at
     offset 0 and needs no second pass.
     """
-    dated = customer_months(orders).where(F.col("cohort_index").isNotNull())
-    return _retention(_activity(dated))
+    since = (F.col("month") - F.col("cohort_index")).cast("bigint").alias("months_since_first_order")
+    dated = active_months(orders).where(F.col("customer_id").isNotNull() & F.col("cohort_index").isNotNull())
+    return _retention(dated.select("cohort_index", since))
 
 
 def rfm_base(orders: DataFrame) -> DataFrame:
@@ -110,7 +123,8 @@ def rfm_base(orders: DataFrame) -> DataFrame:
         F.count("order_id").alias("frequency_orders"),
         money_sum(F.col("total")).alias("monetary_total"),
     )
-    dated = with_scalars(per, snapshot_date(orders))
+    # the latest order of all is the latest of the customers' last ones, from the same shuffle
+    dated = with_scalars(per, per.agg(F.max("_last").alias("snapshot_date")))
     return dated.select(
         "customer_id",
         month_start(F.col("_first")).alias("cohort_month"),

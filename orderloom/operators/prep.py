@@ -2,24 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderloom.functions.calendar import month_index, month_label, month_of_index, month_start
-from orderloom.functions.ranking import exact_medians, with_rank, with_running_total
-from orderloom.functions.rates import WIDE, count_where, pct
+from orderloom.functions.calendar import month_label, month_of_index, month_start
+from orderloom.functions.ranking import exact_medians, with_rank
+from orderloom.functions.rates import count_where, pct
 from orderloom.functions.scalars import with_scalars
-from orderloom.operators.customers import cohorts, customer_months
+from orderloom.operators.customers import active_months, cohorts
 
-# The delivery model.
-PROMISE_BASE_MIN, PROMISE_PER_KM, PROMISE_STEP_MIN = 38, 3.2, 5
-TRANSIT_BASE_MIN, TRANSIT_PER_KM, TRANSIT_FLOOR_MIN = 6, 2.3, 3
-SLOW_DELAY_MIN = 14
+# Statuses of orders that a rider took on.
 REACHED_A_RIDER = ("Delivered", "Returned", "Return cancelled")
 
 _PLACED = "order_placed_at"
-_HASH_RANGE = 1 << 32
-_BINS = 1024
 
 
 def extract_dimension(df: DataFrame, key: str, attributes: list[str], order_by: str) -> DataFrame:
@@ -34,18 +29,8 @@ def lowest_volume(df: DataFrame, key: str, k: int = 2) -> DataFrame:
 
 
 def without_lowest_volume(dimension: DataFrame, df: DataFrame, key: str, k: int = 2) -> DataFrame:
-    """The dimension without its ``k`` keys of lowest volume (a side of ``k`` rows)."""
-    return dimension.join(F.broadcast(lowest_volume(df, key, k).select(key)), key, "left_anti")
-
-
-def promised_minutes(km: Column) -> Column:
-    """Promise for a distance, to the nearest step; exact halves go to the even multiple."""
-    steps = (F.lit(PROMISE_BASE_MIN) + PROMISE_PER_KM * km) / PROMISE_STEP_MIN
-    return F.bround(steps) * PROMISE_STEP_MIN
-
-
-def transit_minutes(km: Column) -> Column:
-    return F.greatest(F.lit(float(TRANSIT_FLOOR_MIN)), TRANSIT_BASE_MIN + TRANSIT_PER_KM * km)
+    """The dimension without its ``k`` keys of lowest volume; any ``k``, so no broadcast is asked for."""
+    return dimension.join(lowest_volume(df, key, k).select(key), key, "left_anti")
 
 
 def impute_median(df: DataFrame, *columns: str) -> DataFrame:
@@ -56,17 +41,6 @@ def impute_median(df: DataFrame, *columns: str) -> DataFrame:
     return with_scalars(df, named).withColumns(filled).drop(*named.columns)
 
 
-def fulfillment_minutes() -> Column:
-    """Kitchen, waiting and riding time together."""
-    parts = F.col("kpt_duration_minutes") + F.col("rider_wait_time_minutes")
-    return parts + transit_minutes(F.col("distance_km"))
-
-
-def delay_for(key: Column, slow: list, delay: float = SLOW_DELAY_MIN) -> Column:
-    """Extra minutes for a short list of keys, none for the others."""
-    return F.when(key.isin(*slow), F.lit(float(delay))).otherwise(F.lit(0.0))
-
-
 def late_flag(actual: Column, promised: Column) -> Column:
     return (actual > promised).cast("int")
 
@@ -76,39 +50,6 @@ def only_if_delivered(value: Column, status: Column, served=REACHED_A_RIDER) ->
     return F.when(status.isin(*served), value)
 
 
-def build_ops_fact(
-    orders: DataFrame, assigned: DataFrame, slow_partners: DataFrame, delay: float = SLOW_DELAY_MIN
-) -> DataFrame:
-    """Delivery rows from orders and their assigned partners.
-
-    ``slow_partners`` holds distinct ids whose deliveries take ``delay`` minutes longer.
-    Lateness compares unrounded minutes; the stored minutes have one decimal.
-    """
-    slow = slow_partners.select(F.col("partner_id").alias("_slow"))
-    filled = impute_median(orders, "kpt_duration_minutes", "rider_wait_time_minutes")
-    rows = filled.join(assigned, "order_id").join(slow, F.col("partner_id") == F.col("_slow"), "left")
-    extra = F.when(F.col("_slow").isNotNull(), F.lit(float(delay))).otherwise(F.lit(0.0))
-    timed = rows.withColumn("_promised", promised_minutes(F.col("distance_km"))).withColumn(
-        "_actual", fulfillment_minutes() + extra
-    )
-
-    def served(value: Column) -> Column:
-        return only_if_delivered(value, F.col("order_status"))
-
-    return timed.select(
-        "order_id",
-        served(F.col("partner_id")).alias("partner_id"),
-        served(one_decimal(F.col("_promised"))).alias("promised_sla_minutes"),
-        served(one_decimal(F.col("_actual"))).alias("actual_fulfillment_minutes"),
-        served(late_flag(F.col("_actual"), F.col("_promised"))).alias("is_late"),
-    )
-
-
-def one_decimal(minutes: Column) -> Column:
-    """One decimal, exact halves to even, judged on the decimal value."""
-    return F.bround(minutes.cast("decimal(18,6)"), 1).cast("double")
-
-
 def late_rate_by_flag(ops: DataFrame, listed: Column) -> DataFrame:
     """Late rate of the listed rows, of the others, and of all (flag NULL), in one pass."""
     known = ops.where(F.col("partner_id").isNotNull()).withColumn("is_listed", listed)
@@ -132,36 +73,6 @@ def category_share(dimension: DataFrame, facts: DataFrame, key: str) -> DataFram
     )
 
 
-def key_hash(key: Column, seed: str = "") -> Column:
-    """A whole number in [0, 2**32) that depends on the key and the seed only."""
-    digest = F.md5(F.concat(key.cast("string"), F.lit(seed)))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
-
-
-def assign_by_share(rows: DataFrame, row_key: str, counts: DataFrame, key: str) -> DataFrame:
-    """Give each row a category with probability proportional to ``counts.orders``.
-
-    A row's hash picks a place on the line of all counts; the category whose stretch
-    covers it is the answer. Hash ranges are cut into equal bins, and a stretch is listed
-    in each bin it touches, so the range match is an equality join on the bin. Places are
-    exact whole numbers. Runs a job that orders the categories.
-    """
-    line = with_running_total(
-        counts.where(F.col("orders") > 0).select(key, "orders"), [F.col(key).asc()], "orders", "_from", "_all"
-    )
-    start, end, all_orders = (F.col(c).cast(WIDE) for c in ("_from", "_to", "_all"))
-    first_bin = F.call_function("div", start * _BINS, all_orders)
-    last_bin = F.least(F.call_function("div", end * _BINS, all_orders), F.lit(_BINS - 1))
-    stretches = line.withColumn("_to", F.col("_from") + F.col("orders")).select(
-        key, "_from", "_to", "_all", F.explode(F.sequence(first_bin, last_bin)).alias("_bin")
-    )
-    hashed = rows.select(row_key, key_hash(F.col(row_key)).alias("_h"))
-    binned = hashed.withColumn("_bin", F.call_function("div", F.col("_h") * _BINS, F.lit(_HASH_RANGE)))
-    place = F.call_function("div", F.col("_h").cast(WIDE) * F.col("_all").cast(WIDE), F.lit(_HASH_RANGE))
-    met = binned.join(stretches, "_bin").where((place >= F.col("_from")) & (place < F.col("_to")))
-    return met.select(row_key, key)
-
-
 def seeded_sample(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
     """``n`` rows chosen by the hash of their key: the same rows on every run.
 
@@ -231,27 +142,22 @@ def persistence_rates(orders: DataFrame) -> DataFrame:
     after the joining month. Months whose successor lies beyond the data are left out of
     both bases, since it cannot be seen.
     """
-    per = customer_months(orders).where(F.col("cohort_index").isNotNull())
-    final = orders.agg(month_index(F.max(_PLACED)).alias("_final"))
-    dated = with_scalars(per, final)
-    months, joined, last = F.col("active_months"), F.col("cohort_index"), F.col("_final")
-
-    def followed(m: Column) -> Column:
-        return F.array_contains(months, m + 1)
-
-    later = F.filter(months, lambda m: (m > joined) & (m < last))
-    per_customer = dated.select(
-        joined,
-        (joined < last).alias("_seen"),
-        ((joined < last) & followed(joined)).alias("_month1"),
-        F.size(later).alias("_later"),
-        F.size(F.filter(later, followed)).alias("_kept"),
+    every = active_months(orders)
+    # the final month counts orders without a customer as well
+    final = every.agg(F.max("month").alias("_final"))
+    by_month = Window.partitionBy("customer_id").orderBy(F.col("month").asc_nulls_last())
+    rows = every.withColumn("_next", F.lead("month").over(by_month)).where(
+        F.col("customer_id").isNotNull() & F.col("cohort_index").isNotNull()
     )
-    sums = per_customer.rollup("cohort_index").agg(
-        count_where(F.col("_seen")).alias("customers"),
-        count_where(F.col("_month1")).alias("active_month1"),
-        F.sum("_later").alias("active_customer_months"),
-        F.sum("_kept").alias("followed_customer_months"),
+    dated = with_scalars(rows, final)
+    joined, month, last = F.col("cohort_index"), F.col("month"), F.col("_final")
+    followed = F.col("_next") == month + 1
+    first, later = (month == joined) & (joined < last), (month > joined) & (month < last)
+    sums = dated.rollup("cohort_index").agg(
+        count_where(first).alias("customers"),
+        count_where(first & followed).alias("active_month1"),
+        count_where(later).alias("active_customer_months"),
+        count_where(later & followed).alias("followed_customer_months"),
     )
     return sums.select(
         month_label(month_of_index(F.col("cohort_index"))).alias("cohort_month"),

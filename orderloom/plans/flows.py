@@ -36,8 +36,8 @@ def outliers_from_landing(orders_raw: DataFrame, ops_raw: DataFrame) -> DataFram
     Of the orders only their existence matters, and cleaning keeps every order id, so one
     landing column is read instead of staging them all.
     """
-    known = normalize_nulls(orders_raw.select("order_id")).distinct()
-    segments = delivery.delivery_segments(typed(known, "orders_raw"), resolved_deliveries(ops_raw))
+    known = typed(normalize_nulls(orders_raw.select("order_id")), "orders_raw").distinct()
+    segments = delivery.delivery_segments(known, resolved_deliveries(ops_raw))
     return delivery.retest_on_clean_baseline(delivery.partner_outliers(segments))
 
 

@@ -13,14 +13,26 @@ CSV_OPTIONS = {
     "sep": ",",
     "quote": '"',
     "escape": '"',
-    "multiLine": False,
     "enforceSchema": True,  # columns bind by position, whatever the header says
+    "columnPruning": False,  # every row is checked whole, whichever columns are read
 }
 
 
-def read_landing_csv(spark: SparkSession, table: str, path: str) -> DataFrame:
+def csv_options(line_breaks: bool = True, on_error: str = "FAILFAST") -> dict:
+    """Options of every CSV read.
+
+    ``line_breaks``: quoted fields may hold line breaks; a file is then read by one task, so data
+    should land in many files. ``on_error``: FAILFAST stops at a row with the wrong number of
+    columns, PERMISSIVE pads or cuts it, DROPMALFORMED leaves it out.
+    """
+    return CSV_OPTIONS | {"multiLine": line_breaks, "mode": on_error}
+
+
+def read_landing_csv(
+    spark: SparkSession, table: str, path: str, *, line_breaks: bool = True, on_error: str = "FAILFAST"
+) -> DataFrame:
     """A landing table from CSV: header skipped, columns by position, all strings."""
-    raw = spark.read.options(**CSV_OPTIONS).schema(landing_schema(table)).csv(path)
+    raw = spark.read.options(**csv_options(line_breaks, on_error)).schema(landing_schema(table)).csv(path)
     return normalize_nulls(raw)
 
 
@@ -40,7 +52,8 @@ def normalize_nulls(df: DataFrame, tokens=NULL_TOKENS) -> DataFrame:
 
 
 def cast_text(text: Column, kind: str) -> Column:
-    """Typed value or NULL. Whole numbers may be spelled ``1`` or ``1.0``.
+    """Typed value or NULL. Whole numbers may be spelled ``1`` or ``1.0``; a fraction is no whole
+    number and gives NULL.
 
     A cast that fails is far slower than one that succeeds, so the spelling decides
     which cast is tried.
@@ -48,8 +61,9 @@ def cast_text(text: Column, kind: str) -> Column:
     if kind == "string":
         return text
     if kind in ("int", "bigint"):
-        spelled_decimal = text.try_cast("decimal(38,6)").try_cast(kind)
-        return F.when(text.contains("."), spelled_decimal).otherwise(text.try_cast(kind))
+        number = text.try_cast("decimal(38,9)")
+        whole = F.when(number == F.floor(number), number).try_cast(kind)
+        return F.when(text.contains("."), whole).otherwise(text.try_cast(kind))
     return text.try_cast(kind)
 
 

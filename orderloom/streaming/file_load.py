@@ -8,15 +8,25 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from orderloom.sources.files import CSV_OPTIONS, normalize_nulls
+from orderloom.sources.files import csv_options, normalize_nulls
 from orderloom.sources.schemas import landing_schema
 
 
 def load_new_files(
-    spark: SparkSession, table: str, files: str, target: str, checkpoint: str
+    spark: SparkSession,
+    table: str,
+    files: str,
+    target: str,
+    checkpoint: str,
+    *,
+    line_breaks: bool = True,
+    on_error: str = "FAILFAST",
 ) -> None:
-    """Append the rows of CSV files not loaded before to the Parquet table ``target``."""
-    stream = spark.readStream.options(**CSV_OPTIONS).schema(landing_schema(table)).csv(files)
+    """Append the rows of CSV files not loaded before to the Parquet table ``target``.
+
+    A file with a malformed row stops the load (``csv_options``); it is read again next time.
+    """
+    stream = spark.readStream.options(**csv_options(line_breaks, on_error)).schema(landing_schema(table)).csv(files)
     query = (
         normalize_nulls(stream)
         .writeStream.format("parquet")

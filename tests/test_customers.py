@@ -125,13 +125,6 @@ def test_persistence(spark):
     assert (overall.active_customer_months, overall.followed_customer_months) == (2, 1)
 
 
-def test_share_assignment_is_proportional_and_whole(spark):
-    counts = spark.createDataFrame([("a", 0), ("b", 1), ("c", 3)], "k string, orders bigint")
-    got = {r.k: r["count"] for r in prep.assign_by_share(spark.range(4000), "id", counts, "k").groupBy("k").count().collect()}
-    assert sum(got.values()) == 4000 and set(got) == {"b", "c"}
-    assert abs(got["c"] / 4000 - 0.75) < 0.03
-
-
 def test_key_continuation_has_no_gaps(spark):
     batch = spark.range(100).select((F.col("id") * 7 % 100).alias("x"))
     existing = spark.range(5).select((F.col("id") + 10).alias("key"))
@@ -139,13 +132,6 @@ def test_key_continuation_has_no_gaps(spark):
     assert [r.key for r in got] == list(range(15, 115))
 
 
-def test_promise_rounds_halves_to_even(spark):
-    # (38 + 3.2 * 1.40625) / 5 = 8.5
-    df = spark.createDataFrame([(1.40625,), (0.5,), (3.0,), (None,)], "km double")
-    got = [r[0] for r in df.select(prep.promised_minutes(F.col("km"))).collect()]
-    assert got == [40.0, 40.0, 50.0, None]
-
-
 def test_months_are_filled_with_zero(spark):
     df = orders(spark, ("a", "2024-11-01", 1, 0), ("a", "2025-02-01", 1, 0), ("b", "2024-12-05", 1, 0))
     got = {(r.order_month, r.customer_id): r.orders for r in prep.zero_filled_months(df, "customer_id").collect()}

@@ -56,3 +56,19 @@ def test_ranking_gathers_no_rows_in_one_task(spark, name):
     plan = static_plan(QUERIES[name](spark, SF))
     for window in re.findall(r"\(\d+\) Window\n.*?\n\n", plan, re.S):
         assert "_slice" in window
+
+
+def scans(df, table):
+    """How often the executed plan reads a table; reused exchanges and subqueries count once."""
+    plan = executed_plan(df)
+    return len(re.findall(rf"FileScan parquet[^\n]*{table}\.parquet", plan.split("== Initial Plan ==")[0]))
+
+
+@pytest.mark.parametrize("name", ["e5_rfm_base", "c16_persistence_rates"])
+def test_the_latest_order_comes_from_the_rows_already_grouped(spark, name):
+    assert scans(QUERIES[name](spark, SF), "orders") == 1
+
+
+@pytest.mark.parametrize("name", ["e3_retention_matrix", "e15_month_one_retention", "c16_persistence_rates"])
+def test_months_are_no_sets(spark, name):
+    assert "ObjectHashAggregate" not in static_plan(QUERIES[name](spark, SF))

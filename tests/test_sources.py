@@ -20,6 +20,31 @@ def test_csv_round_trip_keeps_quotes_commas_and_missing_values(spark, tmp_path):
         ("1", 'the "best", grill', None, "x"), ("2", "plain", None, None), ("3", "a\\b", None, None)]
 
 
+def test_line_breaks_inside_quotes_stay_in_their_row(spark, tmp_path):
+    rows = [("1", "cold\nlate again", "z", "c"), ("2", "a", "z", "c")]
+    files.write_csv(dims(spark, *rows), f"{tmp_path}/csv")
+    back = files.read_landing_csv(spark, "restaurants_dim", f"{tmp_path}/csv")
+    assert sorted(map(tuple, back.collect())) == rows
+
+
+@pytest.mark.parametrize("line", ["1,a,b", "1,a,b,c,d"])
+def test_a_row_with_a_wrong_number_of_columns_stops_the_load(spark, tmp_path, line):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.csv").write_text(f"A,B,C,D\n1,a,b,c\n{line}\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_landing_csv(spark, "restaurants_dim", f"{tmp_path}/in").select("city").collect()
+    with pytest.raises(Exception, match="(?i)malformed|failed"):
+        load_new_files(spark, "restaurants_dim", f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/memory")
+    loose = files.read_landing_csv(spark, "restaurants_dim", f"{tmp_path}/in", on_error="PERMISSIVE")
+    assert loose.count() == 2
+
+
+def test_fractions_are_no_whole_numbers(spark):
+    texts = spark.createDataFrame([("1",), ("1.0",), ("1.5",), ("0.9",), ("-2.000",), ("x",), (None,)], "t string")
+    got = [r[0] for r in texts.select(files.cast_text(F.col("t"), "int")).collect()]
+    assert got == [1, 1, None, None, -2, None, None]
+
+
 def test_append_and_layers(spark, tmp_path):
     house = layers.Warehouse(spark, str(tmp_path))
     house.append("raw", "restaurants_dim", dims(spark, ("1", "a", "z", "c")))
@@ -82,7 +107,14 @@ def test_shared_folder_comes_from_the_session():
     assert storage.shared_folder(Session("yarn", None, "hdfs://x/y")) == "hdfs://x/y"
     with pytest.raises(ValueError):
         storage.shared_folder(Session("yarn"))  # no folder of one machine on a cluster
-    assert "orderloom-" in storage.shared_folder(Session("local[2]"))
+    local = Session("local[2]")
+    assert "orderloom-" in storage.shared_folder(local)
+    assert local.checkpoint is None  # the session's settings stay as they are
+
+
+def test_frozen_tables_go_where_the_caller_says(spark, tmp_path):
+    frozen = storage.freeze(spark.range(3), "t", path=f"{tmp_path}/mine")
+    assert frozen.count() == 3 and f"{tmp_path}/mine" in frozen.inputFiles()[0]
 
 
 def test_frozen_rows_are_read_back_from_the_shared_folder(spark):

@@ -194,6 +194,7 @@ def orders_raw(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
         "brand_pack_discount": "string(order_id % 5)",
         "total": "string(total)",
         "rating": "coalesce(string(rating), '')",
+        "review": "CASE WHEN order_id % 90 = 0 THEN concat('cold, \"late\"', chr(10), 'again ', order_id) END",
         "kpt_duration_minutes": f"coalesce(string(kpt_duration_minutes), {rotating})",
         "rider_wait_time_minutes": "coalesce(string(rider_wait_time_minutes), 'NULL')",
         "order_ready_marked": "CASE order_id % 3 WHEN 0 THEN 'Correctly' WHEN 1 THEN 'Incorrectly'"

@@ -33,10 +33,6 @@ def gap(earlier: str, later: str) -> str:
     return f"date_diff('month', {earlier}, {later})"
 
 
-def h(key: str, seed: str = "") -> str:
-    return f"('0x' || substr(md5({key}::VARCHAR || '{seed}'), 1, 8))::BIGINT"
-
-
 KM = "CASE WHEN floor(l_quantity / 5) < 1 THEN 0.5 ELSE floor(l_quantity / 5)::DOUBLE END"
 PROMISE = "round_even((38 + 3.2::DOUBLE * {km}) / 5, 0) * 5"
 RIDE = "greatest(3.0::DOUBLE, 6 + 2.3::DOUBLE * {km})"
@@ -135,7 +131,7 @@ FRAMES = {
             (order_id % 7)::VARCHAR AS restaurant_discount_flat,
             CASE WHEN order_id % 4 <> 0 THEN (order_id % 3)::VARCHAR ELSE 'NaN' END AS gold_discount,
             (order_id % 5)::VARCHAR AS brand_pack_discount, total::VARCHAR AS total,
-            coalesce(rating::VARCHAR, '') AS rating, NULL::VARCHAR AS review,
+            coalesce(rating::VARCHAR, '') AS rating, CASE WHEN order_id % 90 = 0 THEN 'cold, "late"' || chr(10) || 'again ' || order_id END AS review,
             NULL::VARCHAR AS cancellation_reason, NULL::VARCHAR AS restaurant_compensation,
             NULL::VARCHAR AS restaurant_penalty,
             coalesce(kpt_duration_minutes::VARCHAR,
@@ -281,13 +277,6 @@ FRAMES = {
 }
 
 
-def one_decimal(minutes: str) -> str:
-    """Half to even at one decimal, on the value in millionths."""
-    u = f"(({minutes})::DECIMAL(18,6) * 1000000)::BIGINT"
-    up = f"CASE WHEN {u} % 100000 > 50000 OR ({u} % 100000 = 50000 AND ({u} // 100000) % 2 = 1) THEN 1 ELSE 0 END"
-    return f"({u} // 100000 + {up})::DOUBLE / 10"
-
-
 def _rates(*dims: str, floor: int = 30) -> str:
     keys = ", ".join(dims)
     late = pct("count(CASE WHEN delivery_status = 'late' THEN 1 END)", "count(*)")
@@ -354,7 +343,8 @@ SQL = {
                 (SELECT count(*) FROM supplier))""",
     "a6_csv_round_trip": """
         SELECT restaurant_name, count(*) AS order_rows, sum(total)::DOUBLE AS total,
-            count(kpt_duration_minutes) AS kpt_rows, min(order_placed_at) AS first_order FROM parsed GROUP BY 1""",
+            count(kpt_duration_minutes) AS kpt_rows, min(order_placed_at) AS first_order,
+            count(review) AS reviews, max(review) AS last_review FROM parsed GROUP BY 1""",
     "a8_layer_tables": "SELECT * FROM first_ops",
     "a9_named_source": "SELECT order_status, count(*) AS orders, sum(total)::DOUBLE AS total FROM ord GROUP BY 1",
     "a10_batch_append": f"SELECT {label('order_month')} AS order_month, n AS orders, total::DOUBLE AS total FROM month_orders",
@@ -386,27 +376,10 @@ SQL = {
     "c2_bottom_k_exclusion": """SELECT DISTINCT lower(p_brand) AS restaurant_name FROM part
         WHERE lower(p_brand) NOT IN (SELECT restaurant_name FROM ord WHERE restaurant_name IS NOT NULL
             GROUP BY 1 ORDER BY count(*), 1 LIMIT 2)""",
-    "c3_sla_promise": f"SELECT order_id, distance_km, {PROMISE.format(km='distance_km')} AS promised_sla_minutes FROM ord",
     "c4_median_imputation": "SELECT order_id, kpt_duration_minutes, rider_wait_time_minutes FROM filled",
-    "c5_fulfillment_minutes": f"""SELECT order_id, {one_decimal(f"kpt_duration_minutes + rider_wait_time_minutes + {RIDE.format(km='distance_km')}")}
-        AS actual_fulfillment_minutes FROM (SELECT order_id, kpt_duration_minutes, rider_wait_time_minutes,
-            distance_km FROM ord)""",
-    "c6_key_list_penalty": """SELECT order_id, partner_id, CASE WHEN partner_id IN ('DP000000000', 'DP000000025',
-        'DP000000050', 'DP000000075') THEN 14.0::DOUBLE ELSE 0.0::DOUBLE END AS extra_minutes FROM resolved""",
     "c7_late_flag": "SELECT order_id, is_late FROM resolved",
-    "c8_undelivered_mask": f"""SELECT order_id, CASE WHEN order_status IN ('Delivered', 'Returned', 'Return cancelled')
-        THEN {PROMISE.format(km='distance_km')} END AS promised_sla_minutes FROM ord""",
-    "c3_to_c8_ops_fact": f"""
-        SELECT order_id, CASE WHEN ok THEN partner_id END AS partner_id,
-            CASE WHEN ok THEN promised END AS promised_sla_minutes,
-            CASE WHEN ok THEN {one_decimal('actual')} END AS actual_fulfillment_minutes,
-            CASE WHEN ok THEN (actual > promised)::INTEGER END AS is_late
-        FROM (SELECT order_id, partner_id, order_status IN ('Delivered', 'Returned', 'Return cancelled') AS ok,
-                {PROMISE.format(km='distance_km')} AS promised,
-                kpt_duration_minutes + rider_wait_time_minutes + {RIDE.format(km='distance_km')}
-                + CASE WHEN partner_id IN (SELECT 'DP' || lpad(s_suppkey::VARCHAR, 9, '0') FROM supplier
-                      WHERE s_acctbal < 0) THEN 14.0::DOUBLE ELSE 0.0::DOUBLE END AS actual
-              FROM filled JOIN resolved USING (order_id) WHERE partner_id IS NOT NULL)""",
+    "c8_undelivered_mask": """SELECT order_id, CASE WHEN order_status IN ('Delivered', 'Returned', 'Return cancelled')
+        THEN was_reassigned END AS was_reassigned FROM resolved JOIN ord USING (order_id)""",
     "c9_late_rate_by_flag": f"""
         SELECT substr(partner_id, -2) IN ('00', '25', '50', '75') AS is_listed, count(is_late) AS orders,
             sum(is_late)::BIGINT AS late_orders, {pct('sum(is_late)', 'count(is_late)')} AS late_rate_pct
@@ -415,12 +388,6 @@ SQL = {
         FROM ops WHERE partner_id IS NOT NULL""",
     "c10_category_share": """SELECT partner_id, orders,
         orders::DOUBLE / (SELECT sum(orders) FROM partner_orders)::DOUBLE AS share FROM partner_orders""",
-    "c11_assign_by_share": f"""
-        SELECT order_id, partner_id
-        FROM (SELECT order_id, {h('order_id')} * (SELECT sum(orders) FROM partner_orders) // 4294967296 AS place
-              FROM ord)
-        JOIN (SELECT partner_id, orders, sum(orders) OVER (ORDER BY partner_id) AS upto FROM partner_orders)
-            ON place >= upto - orders AND place < upto""",
     "c12_seeded_sample": """SELECT order_id, customer_id, order_status FROM ord
         ORDER BY md5(order_id::VARCHAR || '11'), order_id LIMIT 40""",
     "c12_one_per_customer": """SELECT customer_id, order_id, order_status FROM (SELECT *, row_number() OVER

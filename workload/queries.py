@@ -95,7 +95,8 @@ def a3_landing_orders(spark, d):
 def a4_bulk_append(spark, d):
     house = layers.Warehouse(spark, storage.new_path(spark, "append"))
     for late in (False, True):
-        batch = fx.orders(spark, d).where((F.year("order_placed_at") >= 1998) == F.lit(late))
+        recent = F.coalesce(F.year("order_placed_at") >= 1998, F.lit(False))  # undated orders come first
+        batch = fx.orders(spark, d).where(recent == F.lit(late))
         house.append("raw", "orders", batch.select("order_id", "order_placed_at", "order_status"))
     return house.source("raw", "orders").groupBy("order_status").agg(F.count("*").alias("orders"))
 
@@ -135,6 +136,8 @@ def a6_csv_round_trip(spark, d):
         F.sum("total").cast("double").alias("total"),
         F.count("kpt_duration_minutes").alias("kpt_rows"),
         F.min("order_placed_at").alias("first_order"),
+        F.count("review").alias("reviews"),
+        F.max("review").alias("last_review"),
     )
 
 
@@ -160,8 +163,9 @@ def a9_named_source(spark, d):
 def a10_batch_append(spark, d):
     placed = F.col("order_placed_at")
     orders = fx.orders(spark, d).select("order_id", "order_placed_at", "total")
-    first = orders.where(F.year(placed) < 1998)
-    second = orders.where(F.year(placed) >= 1998).select("total", "order_id", "order_placed_at")
+    recent = F.coalesce(F.year(placed) >= 1998, F.lit(False))  # undated orders come first
+    first = orders.where(~recent)
+    second = orders.where(recent).select("total", "order_id", "order_placed_at")
     both = layers.append_batches(first, second)
     return both.groupBy(month_label(placed).alias("order_month")).agg(
         F.count("*").alias("orders"), F.sum("total").cast("double").alias("total")
@@ -271,12 +275,6 @@ def c2_bottom_k_exclusion(spark, d):
     return prep.without_lowest_volume(brands, orders, "restaurant_name")
 
 
-@query
-def c3_sla_promise(spark, d):
-    orders = fx.orders(spark, d, line=True)
-    return orders.select("order_id", "distance_km", prep.promised_minutes(F.col("distance_km")).alias("promised_sla_minutes"))
-
-
 @query
 def c4_median_imputation(spark, d):
     columns = ["kpt_duration_minutes", "rider_wait_time_minutes"]
@@ -284,19 +282,6 @@ def c4_median_imputation(spark, d):
     return prep.impute_median(orders, *columns)
 
 
-@query
-def c5_fulfillment_minutes(spark, d):
-    orders = fx.orders(spark, d, line=True)
-    return orders.select("order_id", prep.one_decimal(prep.fulfillment_minutes()).alias("actual_fulfillment_minutes"))
-
-
-@query
-def c6_key_list_penalty(spark, d):
-    slow = ["DP000000000", "DP000000025", "DP000000050", "DP000000075"]
-    rows = _resolved(spark, d)
-    return rows.select("order_id", "partner_id", prep.delay_for(F.col("partner_id"), slow).alias("extra_minutes"))
-
-
 @query
 def c7_late_flag(spark, d):
     rows = _resolved(spark, d)
@@ -306,23 +291,9 @@ def c7_late_flag(spark, d):
 
 @query
 def c8_undelivered_mask(spark, d):
-    orders = fx.orders(spark, d, line=True)
-    promised = prep.promised_minutes(F.col("distance_km"))
-    masked = prep.only_if_delivered(promised, F.col("order_status"))
-    return orders.select("order_id", masked.alias("promised_sla_minutes"))
-
-
-@query
-def c3_to_c8_ops_fact(spark, d):
-    orders = fx.orders(spark, d, line=True)
-    assigned = _resolved(spark, d).select("order_id", "partner_id").where(F.col("partner_id").isNotNull())
-    slow = _slow_partners(spark, d)
-    return prep.build_ops_fact(orders, assigned, slow)
-
-
-def _slow_partners(spark, d):
-    """Partners with a negative balance stand for the slow ones."""
-    return fx.partners(spark, d, "s_acctbal < 0")
+    status = fx.orders(spark, d).select("order_id", "order_status")
+    masked = prep.only_if_delivered(F.col("was_reassigned"), F.col("order_status"))
+    return _resolved(spark, d).join(status, "order_id").select("order_id", masked.alias("was_reassigned"))
 
 
 @query
@@ -336,12 +307,6 @@ def c10_category_share(spark, d):
     return prep.category_share(fx.partners(spark, d), _resolved(spark, d), "partner_id")
 
 
-@query
-def c11_assign_by_share(spark, d):
-    counts = prep.category_share(fx.partners(spark, d), _resolved(spark, d), "partner_id")
-    return prep.assign_by_share(fx.orders(spark, d), "order_id", counts, "partner_id")
-
-
 @query
 def c12_seeded_sample(spark, d):
     orders = fx.orders(spark, d).select("order_id", "customer_id", "order_status")
