@@ -171,16 +171,18 @@ def orders_raw(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     misprint = "CASE WHEN order_id % 641 = 0 THEN 1 ELSE 0 END"
     packaging = "10 + order_id % 15"
     rotating = "CASE order_id % 3 WHEN 0 THEN 'NaN' WHEN 1 THEN 'null' ELSE '' END"
+    moved = "timestampadd(HOUR, CASE WHEN copy = 2 THEN int(order_id % 3) - 1 ELSE 0 END, order_placed_at)"
     values = {
         "restaurant_id": "string(restaurant_id)",
         "restaurant_name": "CASE WHEN order_id % 25 = 1 THEN concat('  ', restaurant_name, '  ')"
         " ELSE restaurant_name END",
         "subzone": "CASE WHEN order_id % 25 = 0 THEN upper(subzone) ELSE subzone END",
         "city": "'Metro City'",
-        "order_id": "string(order_id)",
+        # second copies spell the key otherwise, and differ in time format, time and kitchen time
+        "order_id": "CASE WHEN copy = 2 THEN concat(order_id, '.0') ELSE string(order_id) END",
         "order_placed_at": "CASE WHEN order_id % 1013 = 0 THEN 'not a date'"
-        " WHEN order_id % 20 = 0 THEN date_format(order_placed_at, 'yyyy-MM-dd HH:mm:ss')"
-        " ELSE date_format(order_placed_at, 'hh:mm a, MMMM dd yyyy') END",
+        f" WHEN (order_id % 20 = 0) != (copy = 2) THEN date_format({moved}, 'yyyy-MM-dd HH:mm:ss')"
+        f" ELSE date_format({moved}, 'hh:mm a, MMMM dd yyyy') END",
         "order_status": "order_status",
         "delivery": "'Platform Delivery'",
         "distance": "CASE WHEN distance_km < 1 THEN '<1km' ELSE concat(int(distance_km), 'km') END",
@@ -195,14 +197,15 @@ def orders_raw(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
         "total": "string(total)",
         "rating": "coalesce(string(rating), '')",
         "review": "CASE WHEN order_id % 90 = 0 THEN concat('cold, \"late\"', chr(10), 'again ', order_id) END",
-        "kpt_duration_minutes": f"coalesce(string(kpt_duration_minutes), {rotating})",
+        "kpt_duration_minutes": "CASE WHEN copy = 2 AND order_id % 3 = 1 THEN string(order_id % 7 + 0.5D)"
+        f" ELSE coalesce(string(kpt_duration_minutes), {rotating}) END",
         "rider_wait_time_minutes": "coalesce(string(rider_wait_time_minutes), 'NULL')",
         "order_ready_marked": "CASE order_id % 3 WHEN 0 THEN 'Correctly' WHEN 1 THEN 'Incorrectly'"
         " ELSE 'Missed' END",
         "customer_complaint_tag": "customer_complaint_tag",
         "customer_id": "customer_id",
     }
-    copies = "explode(sequence(1, CASE WHEN order_id % 500 = 0 THEN 2 ELSE 1 END)) AS _copy"
+    copies = "explode(sequence(1, CASE WHEN order_id % 500 = 0 THEN 2 ELSE 1 END)) AS copy"
     clean = orders(spark, sf_dir, line=bool(FROM_LINE & set(columns)), zone="subzone" in columns)
     texts = [f"{values.get(c, 'string(NULL)')} AS {c}" for c in columns]
-    return clean.selectExpr(*texts, copies).drop("_copy")
+    return clean.selectExpr("*", copies).selectExpr(*texts)

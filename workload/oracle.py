@@ -115,10 +115,10 @@ FRAMES = {
             CASE WHEN order_id % 25 = 1 THEN '  ' || restaurant_name || '  ' ELSE restaurant_name END
                 AS restaurant_name,
             CASE WHEN order_id % 25 = 0 THEN upper(subzone) ELSE subzone END AS subzone,
-            'Metro City' AS city, order_id::VARCHAR AS order_id,
+            'Metro City' AS city, order_id::VARCHAR || CASE WHEN copy = 2 THEN '.0' ELSE '' END AS order_id,
             CASE WHEN order_id % 1013 = 0 THEN 'not a date'
-                 WHEN order_id % 20 = 0 THEN strftime(order_placed_at, '%Y-%m-%d %H:%M:%S')
-                 ELSE strftime(order_placed_at, '%I:%M %p, %B %d %Y') END AS order_placed_at,
+                 WHEN (order_id % 20 = 0) <> (copy = 2) THEN strftime(moved, '%Y-%m-%d %H:%M:%S')
+                 ELSE strftime(moved, '%I:%M %p, %B %d %Y') END AS order_placed_at,
             order_status, 'Platform Delivery' AS delivery,
             CASE WHEN distance_km < 1 THEN '<1km' ELSE distance_km::INTEGER::VARCHAR || 'km' END AS distance,
             (1 + order_id % 4)::VARCHAR || ' x dish, sauce' AS items_in_order,
@@ -134,13 +134,15 @@ FRAMES = {
             coalesce(rating::VARCHAR, '') AS rating, CASE WHEN order_id % 90 = 0 THEN 'cold, "late"' || chr(10) || 'again ' || order_id END AS review,
             NULL::VARCHAR AS cancellation_reason, NULL::VARCHAR AS restaurant_compensation,
             NULL::VARCHAR AS restaurant_penalty,
+            CASE WHEN copy = 2 AND order_id % 3 = 1 THEN (order_id % 7 + 0.5::DOUBLE)::VARCHAR ELSE
             coalesce(kpt_duration_minutes::VARCHAR,
-                CASE order_id % 3 WHEN 0 THEN 'NaN' WHEN 1 THEN 'null' ELSE '' END) AS kpt_duration_minutes,
+                CASE order_id % 3 WHEN 0 THEN 'NaN' WHEN 1 THEN 'null' ELSE '' END) END AS kpt_duration_minutes,
             coalesce(rider_wait_time_minutes::VARCHAR, 'NULL') AS rider_wait_time_minutes,
             CASE order_id % 3 WHEN 0 THEN 'Correctly' WHEN 1 THEN 'Incorrectly' ELSE 'Missed' END
                 AS order_ready_marked,
             customer_complaint_tag, customer_id
-        FROM ord, range(CASE WHEN order_id % 500 = 0 THEN 2 ELSE 1 END)""",
+        FROM (SELECT *, order_placed_at + CASE WHEN copy = 2 THEN order_id % 3 - 1 ELSE 0 END * INTERVAL 1 HOUR AS moved
+              FROM ord, range(1, CASE WHEN order_id % 500 = 0 THEN 3 ELSE 2 END) AS copies(copy))""",
     "tidy": "SELECT "
     + ", ".join(f"CASE WHEN {c} NOT IN ('', 'NaN', 'null', 'NULL') THEN {c} END AS {c}" for c in ORDERS)
     + " FROM landed",
@@ -168,6 +170,14 @@ FRAMES = {
             kpt_duration_minutes IS NULL AS is_kpt_missing,
             rider_wait_time_minutes IS NULL AS is_rider_wait_missing
         FROM unique_orders u LEFT JOIN outlet o ON o.restaurant_id = u.restaurant_id""",
+    "landed_seg": """
+        SELECT o.restaurant_id, o.subzone, r.is_late,
+            CASE WHEN r.is_late = 1 THEN 'late' WHEN r.is_late = 0 THEN 'on_time' ELSE 'not_deliverable' END
+                AS delivery_status,
+            CASE WHEN distance_km <= 1 THEN 'Band_1' WHEN distance_km <= 3 THEN 'Band_2'
+                 WHEN distance_km <= 5 THEN 'Band_3' WHEN distance_km > 5 THEN 'Band_4' END AS distance_band
+        FROM staged o LEFT JOIN resolved r ON r.order_id = o.order_id""",
+    "landed_dlv": "SELECT * FROM landed_seg WHERE delivery_status <> 'not_deliverable'",
     "first_orders": """
         SELECT customer_id, min(order_placed_at)::DATE AS first_order_date,
             date_trunc('month', min(order_placed_at))::DATE AS cohort_month FROM ord GROUP BY customer_id""",
@@ -277,11 +287,11 @@ FRAMES = {
 }
 
 
-def _rates(*dims: str, floor: int = 30) -> str:
+def _rates(*dims: str, floor: int = 30, rows: str = "dlv") -> str:
     keys = ", ".join(dims)
     late = pct("count(CASE WHEN delivery_status = 'late' THEN 1 END)", "count(*)")
     return f"""SELECT {keys}, count(*) AS deliverable_orders, {late} AS late_rate_pct,
-        count(*) < {floor} AS is_low_volume FROM dlv GROUP BY {keys}"""
+        count(*) < {floor} AS is_low_volume FROM {rows} GROUP BY {keys}"""
 
 
 def _minutes(column: str, out: str) -> str:
@@ -441,6 +451,11 @@ SQL = {
     "d9_clean_baseline_retest": """SELECT o.*, c.*, late_rate_pct > clean_mean + 2 * clean_stddev
         AS flagged_on_clean_baseline FROM outliers o, clean c""",
     "d10_zone_band_late_rate": _rates("subzone", "distance_band"),
+    "d6_late_rate_from_landing": _rates("restaurant_id", rows="landed_dlv"),
+    "d10_zone_band_from_landing": _rates("subzone", "distance_band", rows="landed_dlv"),
+    "d11_possible_kitchen_minutes": _minutes(
+        "CASE WHEN kpt_duration_minutes >= 0 THEN kpt_duration_minutes END", "avg_kpt_minutes"
+    ),
     "d11_kitchen_minutes": _minutes("kpt_duration_minutes", "avg_kpt_minutes"),
     "d12_rider_wait_minutes": _minutes("rider_wait_time_minutes", "avg_rider_wait_minutes"),
     "d13_partner_mix": f"""SELECT partner_id, count(*) AS order_count,

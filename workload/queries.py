@@ -431,6 +431,28 @@ def d10_zone_band_late_rate(spark, d):
     return dlv.late_rate_by(_segments(spark, d, line=True, zone=True), "subzone", "distance_band")
 
 
+def _landed_segments(spark, d):
+    return flows.segments_from_landing(fx.orders_raw(spark, d), fx.restaurants(spark, d), fx.ops_raw(spark, d))
+
+
+@query
+def d6_late_rate_from_landing(spark, d):
+    return dlv.late_rate_by(_landed_segments(spark, d), "restaurant_id")
+
+
+@query
+def d10_zone_band_from_landing(spark, d):
+    return dlv.late_rate_by(_landed_segments(spark, d), "subzone", "distance_band")
+
+
+@query
+def d11_possible_kitchen_minutes(spark, d):
+    segments = _segments(spark, d, line=True, zone=True)
+    return dlv.mean_minutes_by(
+        segments, "kpt_duration_minutes", "avg_kpt_minutes", "subzone", "distance_band", exclude_invalid=True
+    )
+
+
 @query
 def d11_kitchen_minutes(spark, d):
     segments = _segments(spark, d, line=True, zone=True)
