@@ -184,7 +184,8 @@ def revealing_terms(
     )
     terms = checked(pairs.select("term").distinct(), "terms")
     words = docs.select(F.explode(F.regexp_extract_all(text_of(text_col), F.lit(_TERM), F.lit(0))).alias("term"))
-    often = words.select(F.lower("term").alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("often"))
+    counts = words.groupBy(F.lower("term").alias("term")).agg(F.count("*").alias("often"))
+    often = counts.join(terms, "term")
     total = found.agg(F.sum("words").alias("total")).first()["total"] or 1  # one row
     information = F.log(F.col("together") * float(total) / (F.col("contexts") * F.col("often")))
     whole = F.log(F.lit(float(total)) / F.col("contexts"))
