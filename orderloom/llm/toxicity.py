@@ -144,9 +144,9 @@ def _dictionaries(toxic: list[str], ordinary: list[str]) -> Model:
 
 
 def _evidence(counts: np.ndarray) -> np.ndarray:
-    """Per text: how many windows gain at least 2, 3, ... bytes, and how many there are (logs)."""
+    """Per text: how many windows gain at least 1, 2, ... bytes, and how many there are (logs)."""
     tail = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1]
-    return np.log1p(np.column_stack([tail[:, 2:], tail[:, 0]]))
+    return np.log1p(np.column_stack([tail[:, 1:], tail[:, 0]]))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
