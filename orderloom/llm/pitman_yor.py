@@ -230,8 +230,7 @@ def sample_tables(counts: np.ndarray, x: np.ndarray, d: float, table: np.ndarray
     many = np.flatnonzero((counts > 1) & ~large)
     many = many[np.argsort(counts[many], kind="stable")]
     sizes, starts = np.unique(counts[many], return_index=True)
-    for c, low, high in zip(sizes.tolist(), starts, np.append(starts[1:], len(many)), strict=True):
-        at = many[low:high]
+    for c, at in zip(sizes.tolist(), np.split(many, starts[1:]), strict=False):
         weight = np.log(x[at])[:, None] * np.arange(c) + table[c, 1 : c + 1]
         weight = np.exp(weight - weight.max(1, keepdims=True)).cumsum(1)
         out[at] = 1 + (weight < rng.random(len(at))[:, None] * weight[:, -1:]).sum(1)
