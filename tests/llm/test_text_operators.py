@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderloom.llm import bpe, exact_dedup, jaccard, licenses, mixing, pii, pitman_yor, topk, toxicity, warc
+from orderloom.llm import components as components_module
 from orderloom.llm.components import components
 from orderloom.llm.oracle import STATEMENTS
 from orderloom.llm.queries import QUERIES, vocabulary
@@ -298,7 +299,10 @@ def test_near_duplicates_on_awkward_tables(spark):
     assert jaccard.near_duplicates(empty(spark)).count() == 0 and jaccard.one_per_class(empty(spark)).count() == 0
 
 
-def test_components_of_a_path_a_star_and_loops(spark):
+@pytest.mark.parametrize("held", [1_000_000, 3])
+def test_components_of_a_path_a_star_and_loops(spark, monkeypatch, held):
+    """Finished in one task, and by rounds."""
+    monkeypatch.setattr(components_module, "_HELD", held)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {200: 200, 201: 200}
