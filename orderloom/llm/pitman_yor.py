@@ -37,7 +37,7 @@ from orderloom.functions.storage import freeze
 from orderloom.llm.common import buckets_for, text_of
 
 _CHUNK = 2_000_000  # tokens
-_WORD_BYTES, _PAIR_BYTES = 64_000_000, 16_000_000  # bytes of text for each bucket of words, of pairs
+_WORD_BYTES, _PAIR_BYTES = 64_000_000, 10_000_000  # bytes of text for each bucket of words, of pairs
 _SHARE = 4  # a context is cut if it has more than 1 / _SHARE of a bucket's mean tokens
 _EXACT = 64
 _END = xxhash.xxh64_intdigest(b" ")  # no word holds a blank
