@@ -5,8 +5,11 @@ import hashlib
 import math
 import random
 import zlib
+from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -278,6 +281,74 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, n, num, den, shor
     assert got == {i: (len(s), least[c]) for (i, _), s, c in zip(rows, sets, classes, strict=True)}
 
 
+def _candidates(chunks, similar, table):
+    """Root of each key in the candidate clusters of chunks of (key, words), each read by a task of its own."""
+    sets, blocks, edges = {}, {}, []
+    for chunk in chunks:
+        batch = pa.record_batch({"key": pa.array([k for k, _ in chunk], pa.int64()), "text": [" ".join(w) for _, w in chunk]})
+        sets |= {k: jaccard.Shingler(1)(" ".join(w)) for k, w in chunk}
+        for out in jaccard._index(1, similar, SimpleNamespace(value=table), 2)(iter([batch])):
+            for row in out.to_pylist():
+                blocks.setdefault(row["bucket"], []).append(row)
+    for bucket, rows in blocks.items():
+        group = pa.Table.from_pylist(rows)
+        found = jaccard._edges(group) if bucket < 0 else jaccard._meet(similar)(group)
+        for row in found.to_pylist():
+            a, b = row["a"], row["b"]
+            na, nb = len(sets[a]), len(sets[b])
+            most = na + nb - 2 * int(similar.overlap(na, nb))
+            if row.get("sure", True) or jaccard.differences(jaccard.sketch(sets[a]), jaccard.sketch(sets[b])) <= most:
+                edges.append((a, b))
+    parent = {k: k for k in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[root(a)] = root(b)
+    return {k: root(k) for k in sets}
+
+
+def _counted(counts):
+    keys = np.array([jaccard.Shingler(1)(w)[0] for w in counts], np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.array(list(counts.values()), np.int64)[order]
+
+
+def test_sets_meet_whatever_stands_for_them():
+    """111 and 125 words link; in their chunks sets of 95 and of 131 words, which do not, stand for them."""
+    first, common = [f"f{i}" for i in range(15)], [f"c{i}" for i in range(94)]
+    own = lambda name, n: [f"{name}{i}" for i in range(n)]
+    texts = {1: first + own("p", 80), 2: first + common + own("q", 2), 3: first + own("r", 116), 4: first + common + own("s", 16)}
+    counts = {w: 8 if w in first else 100 if w in common else 9 for t in texts.values() for w in t}
+    found = _candidates([[(k, texts[k]) for k in ks] for ks in ((1, 2), (3, 4))], jaccard.Similarity(85, 100), _counted(counts))
+    assert found[2] == found[4]
+
+
+@pytest.mark.parametrize("chunks", [1, 2, 5, 20])
+def test_candidate_clusters_hold_every_link(chunks):
+    """Star-shaped groups of variants that are near their centre and far from each other, in any order."""
+    rng, similar = random.Random(chunks), jaccard.Similarity(85, 100)
+    rows = []
+    for g in range(6):
+        centre = [f"g{g}w{i}" for i in range(rng.randrange(60, 140))]
+        rows.append(centre)
+        for i in range(25):
+            gone = set(rng.sample(centre, rng.randrange(len(centre) // 12)))
+            rows.append([w for w in centre if w not in gone] + [f"x{g}.{i}.{j}" for j in range(rng.randrange(8))])
+    rng.shuffle(rows)
+    keyed = [(int(k), w) for k, w in zip(rng.sample(range(10_000), len(rows)), rows, strict=True)]
+    counts = Counter(w for w in (w for _, t in keyed for w in t))
+    parts = [keyed[i::chunks] for i in range(chunks)]
+    found = _candidates(parts, similar, _counted({w: n for w, n in counts.items() if n >= 8}))
+    for k, a in keyed:
+        for other, b in keyed:
+            if 100 * len(set(a) & set(b)) >= 85 * len(set(a) | set(b)):
+                assert found[k] == found[other]
+
+
 def test_sketches_never_overstate_differences():
     rng = np.random.default_rng(2)
     for _ in range(200):
