@@ -1,12 +1,13 @@
 """Licence recognition by sentence rules.
 
 A text is cut into sentences; those that could belong to a licence are normalised (lower case, only
-letters, digits and inner dots, single blanks) and mapped to the identifier of the first known sentence they
-hold. The identifiers of a text, in order, are then matched against the rules, also in order: a rule
+letters, digits and inner dots, single blanks) and mapped to the identifiers of the known sentences they
+hold, in order of position. The identifiers of a text, in order, are then matched against the rules, also in order: a rule
 is a run of identifiers, and what it matches is taken out, so that a part of a longer licence is not
 reported again. Identifiers that no rule takes and sentences without identifier are kept as open ends.
 
-All of it is column expressions over one scan; nothing is shuffled.
+All of it is column expressions over one scan; nothing is shuffled. Of a compound SPDX expression
+only the first licence is read.
 
 Defined results: null and empty texts have no sentences; repeated rows give repeated results; a text
 of any length is read whole; a text may hold several licences, each named once; an empty table gives
@@ -120,11 +121,96 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Public-Domain", ("PublicDomain",)),
 )
 
+_UNDER_ANY = r"(licensed|released|distributed|available|published|provided|covered) under (the |an? )?(terms of )?(the |an? )?"
+_SPDX = "spdx license identifier "
+
+
+def _wider(pattern: str) -> str:
+    wider = {_UNDER: _UNDER_ANY, "(version |v)?": "(version |v ?)?", "sharealike": "share ?alike"}
+    for old, new in wider.items():
+        pattern = pattern.replace(old, new)
+    return pattern
+
+
+#: What stands in published licence texts beyond ``SENTENCES`` and ``RULES``. Of sentences that
+#: begin at one place the first one counts.
+PUBLISHED_SENTENCES: tuple[tuple[str, str], ...] = (
+    ("SpdxMit0", _SPDX + r"mit 0\b"),
+    ("SpdxBsd0", _SPDX + r"0bsd\b"),
+    ("SpdxAgpl", _SPDX + r"agpl\b"),
+    ("SpdxGpl3Later", _SPDX + r"gpl 3\.0 or later"),
+    ("SpdxGpl2Later", _SPDX + r"gpl 2\.0 or later"),
+    ("SpdxIsc", _SPDX + r"isc\b"),
+    ("SpdxUnlicense", _SPDX + r"unlicense\b"),
+    ("SpdxZlib", _SPDX + r"zlib\b"),
+    ("SpdxBsl1", _SPDX + r"bsl 1\.0"),
+    ("SpdxEpl2", _SPDX + r"epl 2\.0"),
+    ("SpdxCc0", _SPDX + r"cc0\b"),
+    ("SpdxCcByNcSa", _SPDX + r"cc by nc sa\b"),
+    ("SpdxCcByNcNd", _SPDX + r"cc by nc nd\b"),
+    ("SpdxCcByNc", _SPDX + r"cc by nc\b"),
+    ("SpdxCcBySa", _SPDX + r"cc by sa\b"),
+    ("SpdxCcByNd", _SPDX + r"cc by nd\b"),
+    ("SpdxCcBy", _SPDX + r"cc by\b"),
+    ("AgplRedistribute", r"you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("LgplRedistribute", r"you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public license"),
+    ("LgplVersion21", r"either version 2\.1 of the license or at your option any later version"),
+    ("GplHope", r"distributed in the hope that it will be useful but without any warranty"),
+    ("GplDetails", r"see the gnu (affero |lesser |library )?general public license for more details"),
+    ("GplCopy", r"you should have received a copy of the gnu (affero |lesser |library )?general public license"),
+    ("GplSee", r"if not see https? www\.gnu\.org licenses"),
+    ("IscGrant", r"permission to use copy modify and( or)? distribute this software for any purpose"),
+    ("IscWarranty", r"the software is provided as is and the author disclaims all warranties"),
+    ("IscLiable", r"in no event shall the author be liable for any special direct indirect or consequential"),
+)
+
+_GNU_TAIL = ("GplHope", "GplWarranty", "GplDetails", "GplCopy")
+
+
+def _notices(first: str, version: str, name: str) -> tuple[tuple[str, tuple[str, ...]], ...]:
+    head = (first, version)
+    return tuple((name, head + tail) for tail in (_GNU_TAIL + ("GplSee",), _GNU_TAIL, ()))
+
+
+PUBLISHED_RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
+    *_notices("GplRedistribute", "GplVersion3", "GPL-3.0-or-later"),
+    *_notices("GplRedistribute", "GplVersion2", "GPL-2.0-or-later"),
+    *_notices("AgplRedistribute", "GplVersion3", "AGPL"),
+    *_notices("LgplRedistribute", "GplVersion3", "LGPL"),
+    *_notices("LgplRedistribute", "GplVersion2", "LGPL"),
+    *_notices("LgplRedistribute", "LgplVersion21", "LGPL"),
+    ("ISC", ("IscGrant", "IscWarranty", "IscLiable")),
+    ("ISC", ("IscGrant", "IscWarranty")),
+    ("MIT-0", ("SpdxMit0",)),
+    ("0BSD", ("SpdxBsd0",)),
+    ("AGPL", ("SpdxAgpl",)),
+    ("GPL-3.0-or-later", ("SpdxGpl3Later",)),
+    ("GPL-2.0-or-later", ("SpdxGpl2Later",)),
+    ("ISC", ("SpdxIsc",)),
+    ("Unlicense", ("SpdxUnlicense",)),
+    ("Zlib", ("SpdxZlib",)),
+    ("BSL-1.0", ("SpdxBsl1",)),
+    ("EPL-2.0", ("SpdxEpl2",)),
+    ("CC0-1.0", ("SpdxCc0",)),
+    ("CC-BY-NC-SA", ("SpdxCcByNcSa",)),
+    ("CC-BY-NC-ND", ("SpdxCcByNcNd",)),
+    ("CC-BY-NC", ("SpdxCcByNc",)),
+    ("CC-BY-SA", ("SpdxCcBySa",)),
+    ("CC-BY-ND", ("SpdxCcByNd",)),
+    ("CC-BY", ("SpdxCcBy",)),
+)
+
+ALL_SENTENCES = PUBLISHED_SENTENCES + tuple((name, _wider(pattern)) for name, pattern in SENTENCES)
+ALL_RULES = PUBLISHED_RULES + RULES
+
+# A sentence ends at a mark before a blank, but not in "SPDX-License-Identifier: MIT" nor in "v. 2.0".
+_END = r"(?i)((?<!license[- ]identifier):|(?<![^a-z0-9]v)\.|\.(?! [0-9])|[;!?]) "
+
 
 def sentences(text: Column) -> Column:
     """Normalised sentences that a keyword singles out, in order."""
     flat = F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")
-    cut = F.split(F.regexp_replace(flat, r"([.;:!?]) ", "$1\n"), "\n")
+    cut = F.split(F.regexp_replace(flat, _END, "$1\n"), "\n")
     plain = F.transform(
         cut,
         lambda s: F.trim(
@@ -134,15 +220,20 @@ def sentences(text: Column) -> Column:
     return F.filter(plain, lambda s: s.rlike(KEYWORDS))
 
 
-def sentence_id(sentence: Column, known: tuple[tuple[str, str], ...] = SENTENCES) -> Column:
-    """The identifier of the first known sentence that it holds, or ``?``."""
-    out = F.lit("?")
-    for name, pattern in reversed(known):
-        out = F.when(sentence.rlike(pattern), F.lit(name)).otherwise(out)
-    return out
+def sentence_ids(sentence: Column, known: tuple[tuple[str, str], ...] = ALL_SENTENCES) -> Column:
+    """The identifiers of the known sentences that it holds, in order of position, or one ``?``."""
+    hits = F.regexp_extract_all(sentence, F.lit("|".join(f"(?:{pattern})" for _, pattern in known)), F.lit(0))
+
+    def name_of(hit: Column) -> Column:
+        out = F.lit("?")
+        for name, pattern in reversed(known):
+            out = F.when(hit.rlike(f"^(?:{pattern})"), F.lit(name)).otherwise(out)
+        return out
+
+    return F.when(F.size(hits) == 0, F.array(F.lit("?"))).otherwise(F.transform(hits, name_of))
 
 
-def apply_rules(ids: Column, rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES) -> Column:
+def apply_rules(ids: Column, rules: tuple[tuple[str, tuple[str, ...]], ...] = ALL_RULES) -> Column:
     """Licences and what is left of the identifiers, as a struct (found, rest)."""
     table = F.array(
         *(F.struct(F.lit(n).alias("name"), F.lit("".join(f"<{i}>" for i in run)).alias("run")) for n, run in rules)
@@ -169,9 +260,9 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     """Per row: id, licenses and sentence_ids (arrays of texts), unmatched (sentences and
     identifiers that no rule took)."""
     text = text_of(text_col)
-    # a text without any keyword has no such sentence; "as is" may span a line break
-    worth = ascii_lower(text).rlike(KEYWORDS.replace(" ", r"[^a-z0-9.]+"))
-    ids = F.transform(sentences(text), lambda s: sentence_id(s))
+    # a text without any keyword has no such sentence; "as is" may span a line break, or dots that go
+    worth = ascii_lower(text).rlike(KEYWORDS.replace(" ", r"[^a-z0-9]+"))
+    ids = F.flatten(F.transform(sentences(text), lambda s: sentence_ids(s)))
     found = docs.select(
         F.col(id_col), F.when(worth, ids).otherwise(F.array().cast("array<string>")).alias("sentence_ids")
     )

@@ -63,6 +63,107 @@ def test_licences_by_ordered_rules(spark):
     }
 
 
+_GNU = """This program is free software{a} you can redistribute it and/or modify
+it under the terms of the GNU {b}General Public License as published by
+the Free Software Foundation{c} either version {d} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {b}General Public License for more details.
+
+You should have received a copy of the GNU {b}General Public License
+along with this program. """
+_BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+_BSD3 = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+_BSD_END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER."""
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+_MIT = """MIT License
+
+Copyright (c) 2024 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+_SEE = "If not, see <https://www.gnu.org/licenses/>."
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this file, You
+can obtain one at https://mozilla.org/MPL/2.0/."""
+PUBLISHED = [
+    (_GNU.format(a=":", b="", c=",", d="3") + _SEE, "GPL-3.0-or-later"),
+    (_GNU.format(a=";", b="", c=";", d="2"), "GPL-2.0-or-later"),
+    (_GNU.format(a=":", b="Affero ", c=",", d="3") + _SEE, "AGPL"),
+    (_GNU.format(a=":", b="Lesser ", c=",", d="3") + _SEE, "LGPL"),
+    (_GNU.format(a=";", b="Lesser ", c=";", d="2.1"), "LGPL"),
+    (_BSD + _BSD3 + _BSD_END, "BSD-3-Clause"), (_BSD + _BSD_END, "BSD-2-Clause"),
+    (_ISC, "ISC"), (_APACHE, "Apache-2.0"), (_MPL, "MPL-2.0"), (_MIT, "MIT"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY"),
+    ("Released under an MIT license.", "MIT"), ("Licensed under the GNU GPL v. 3 here.", "GPL-3.0"),
+    ("SPDX-License-Identifier: GPL-3.0-only", "GPL-3.0"), ("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"),
+    ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0-or-later"), ("// SPDX-License-Identifier: MIT\nimport x", "MIT"),
+    ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0-or-later"), ("SPDX-License-Identifier: AGPL-3.0-only", "AGPL"),
+    ("SPDX-License-Identifier: LGPL-2.1-only", "LGPL"),
+    *((f"SPDX-License-Identifier: {n}", n) for n in ("Apache-2.0", "BSD-3-Clause", "BSD-2-Clause", "MPL-2.0", "MIT-0", "0BSD",
+                                                     "ISC", "Unlicense", "Zlib", "BSL-1.0", "EPL-2.0", "CC0-1.0")),
+    *((f"SPDX-License-Identifier: {n}-4.0", n) for n in ("CC-BY", "CC-BY-SA", "CC-BY-ND", "CC-BY-NC", "CC-BY-NC-SA", "CC-BY-NC-ND")),
+]
+
+
+def test_licences_by_their_published_texts(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(PUBLISHED)], "doc_id long, text string")
+    got = {r.doc_id: (r.licenses, r.unmatched) for r in licenses.scan(docs).collect()}
+    assert got == {i: ([name], 0) for i, (_, name) in enumerate(PUBLISHED)}
+
+
+def test_a_sentence_gives_every_licence_it_holds(spark):
+    texts = [(1, "part one is licensed under the MIT License, part two is licensed under CC BY 4.0"), (2, "It is version v. Then licensed under the MIT License."),
+             (3, "it was.*** Is it")]
+    got = {r.doc_id: (r.licenses, r.sentence_ids) for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: (["CC-BY", "MIT"], ["MitRef", "CcByRef"]), 2: (["MIT"], ["MitRef"]), 3: ([], ["?"])}
+
+
 # -- toxicity ----------------------------------------------------------------------------
 
 
