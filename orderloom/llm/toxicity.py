@@ -6,7 +6,8 @@ and are rare in the ordinary texts of the sample; it lies in front of the ordina
 treat ordinary text alike and a window becomes shorter only where it holds toxic content. A text is
 cut into windows of whole words. The gain of a window is its compressed length under the ordinary
 dictionary less that under the toxic one; how much evidence each gain carries, and how evidence
-becomes a probability, is calibrated on texts whose dictionaries were trained without them.
+becomes a probability, is calibrated on texts whose dictionaries were trained without them. Where the
+bounds change the shares of the classes, the constant is moved to the odds of all labelled documents.
 
 Scoring reads every window of every text, in tasks that need only the fitted model (some kilobytes).
 
@@ -167,11 +168,13 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(w.tolist())
 
 
-def fit_texts(toxic: list[str], ordinary: list[str]) -> Model:
-    """The model of two lists of texts; fitting the same lists gives the same model."""
-    n = len(toxic) + len(ordinary)
+def fit_texts(toxic: list[str], ordinary: list[str], labelled: tuple[int, int] | None = None) -> Model:
+    """The model of two lists of texts, taken from ``labelled`` toxic and ordinary ones; fitting the
+    same lists gives the same model."""
+    bad, good = labelled or (len(toxic), len(ordinary))
+    prior = bad / (bad + good) if bad + good else 0.0
     if not toxic or not ordinary:
-        return Model(prior=len(toxic) / n if n else 0.0)
+        return Model(prior=prior)
     counts, y = [], []
     for half in (0, 1):  # gains of each half under dictionaries of the other
         tools = Compressors(_dictionaries(toxic[1 - half :: 2] or toxic, ordinary[1 - half :: 2] or ordinary))
@@ -180,7 +183,9 @@ def fit_texts(toxic: list[str], ordinary: list[str]) -> Model:
             y += [label] * len(texts)
     counts, y = np.array(counts, dtype=float), np.array(y, dtype=float)
     both = _dictionaries(toxic, ordinary)
-    return Model(both.ordinary, both.toxic, _logistic(_evidence(counts), y), float(y.mean()))
+    *weights, constant = _logistic(_evidence(counts), y)
+    constant += math.log(bad / good) - math.log(len(toxic) / len(ordinary))
+    return Model(both.ordinary, both.toxic, (*weights, constant), prior)
 
 
 def probability(model: Model, counts: np.ndarray) -> np.ndarray:
@@ -220,9 +225,14 @@ def fit(
         if held[row["label"]] + row["size"] <= bounds.text_bytes:
             held[row["label"]] += row["size"]
             within[row["label"]].append(row["id"])
+    # one row: all labelled ids that have a document, whether they are in the sample or not
+    known = ids.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi")
+    whole = known.agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("ordinary")).first()
     wanted = within[0] + within[1]
     found = {r["id"]: r["text"] for r in texts.where(F.col("id").isin(wanted)).collect()} if wanted else {}
-    return fit_texts([found[i] for i in within[1]], [found[i] for i in within[0]])
+    return fit_texts(
+        [found[i] for i in within[1]], [found[i] for i in within[0]], (whole["toxic"], whole["ordinary"])
+    )
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:

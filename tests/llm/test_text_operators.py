@@ -191,6 +191,19 @@ def test_toxicity_without_labels_and_with_odd_ones(spark):
     assert toxicity.score(empty(spark), toxicity.fit_texts(["bad"], ["good"])).count() == 0
 
 
+@pytest.mark.parametrize("rows", [1000, 60])
+def test_toxicity_keeps_the_share_of_all_labels(spark, rows):
+    """Texts without any sign score about the true share, whether or not the sample is capped."""
+    rng = random.Random(9)
+    texts = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(12))) for i in range(800)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(1200)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, bounds=toxicity.Bounds(rows=rows))
+    assert model.prior == 0.1
+    scores = [r.score for r in toxicity.score(docs, model).collect()]
+    assert abs(np.mean(scores) - 0.1) < 0.05
+
+
 def test_fold_is_the_checksum_of_the_id_as_text(spark):
     got = {r.doc_id: r.f for r in spark.range(50).toDF("doc_id").withColumn("f", toxicity.fold("doc_id", 4)).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 4 for i in range(50)}
