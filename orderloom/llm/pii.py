@@ -1,15 +1,16 @@
 """Personal data by patterns, and information-theoretic sanitisation of what reveals it.
 
 The patterns find protected entities: mail addresses, IP addresses, card and phone numbers. The
-corpus then tells which terms near an entity reveal it. With n(c) contexts of an entity c, n(c, t) of
-them holding term t, f(t) occurrences of t anywhere and W words in all, the information that t gives
+corpus then tells which terms (runs of three or more letters or digits) reveal an entity. With n(c) texts that hold an
+entity c, n(c, t) of them holding term t, f(t) occurrences of t anywhere and W words in all, the information that t gives
 about c is PMI = log(n(c, t) * W / (n(c) * f(t))), and that of the entity itself is IC = log(W / n(c)).
-A term whose PMI reaches ``disclosure`` times IC, over at least ``least`` different contexts, is a span
-of its own wherever it stands in a context of that entity; sanitising generalises spans to
-their kind. Equal contexts count once, so copies of a text do not make its words revealing.
+A term whose PMI reaches ``disclosure`` times IC, over at least ``least`` different texts, is a span
+of its own wherever it stands in a text that holds the entity; sanitising generalises spans to
+their kind. Equal texts count once, so copies of a text do not make its words revealing. What lies in a span
+already is no term.
 
-All of it is column expressions: a text is scanned once for spans and once to count candidate terms,
-and only spans with their short contexts are exploded.
+All of it is column expressions. Only texts with an entity of ``least`` texts are read for terms, and
+(entity, term) pairs are counted in the reading task before they are shuffled.
 
 Defined results: null texts count as empty and have no spans; repeated rows have equal spans; texts of
 any length are scanned whole (every pattern runs in linear time); an empty table gives an empty
@@ -18,6 +19,8 @@ result; extra columns stay as they are in ``sanitize``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +29,6 @@ from orderloom.llm.common import checked, fresh, row_key, text_of
 
 #: The kinds in the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone", "term")
-_CONTEXT = 60  # characters on either side of an entity
 _SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
 # A dot between two label characters, and a separator between two digits, become characters that
 # stand nowhere else. So the patterns need no repeated groups, which Java's matcher runs
@@ -37,11 +39,11 @@ _EMAIL = rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++{_DOT}[A-Za-z0-9{_D
 _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = rf"(?<![0-9{_JOINT}])[0-9][0-9{_JOINT}]{{13,}}+"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-_TERM = r"\p{L}{3,}+"
+_TERM = r"[\p{L}\p{N}]{3,}+"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches with code point positions, as an array of structs."""
+def matches(text: Column, pattern: str, keep: Callable[[Column], Column] = lambda hit: F.lit(True)) -> Column:
+    """Leftmost non-overlapping matches with code point positions, as an array of structs; of them those to keep."""
     pairs = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit")
     )
@@ -52,7 +54,7 @@ def matches(text: Column, pattern: str) -> Column:
         end = begin + F.length(pair["hit"])
         span = F.struct(begin.cast("bigint").alias("start"), end.cast("bigint").alias("end"), pair["hit"].alias("value"))
         return F.when(pair["hit"].isNull(), state).otherwise(
-            F.struct(end.cast("bigint").alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+            F.struct(end.cast("bigint").alias("at"), F.when(keep(pair["hit"]), F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
         )
 
     return F.aggregate(pairs, start, step, lambda state: state["spans"])
@@ -117,75 +119,81 @@ def _entity(kind: Column, value: Column) -> Column:
 
 
 def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, key, words, spans with the text around them. Written once. Runs a job."""
+    """Per row: id, key, a hash of the text, words, spans. Written once. Runs a job."""
     text = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), text_of(text_col).alias("text"))
     spans = text.withColumns(
-        {"spans": base_spans(F.col("text")), "words": F.regexp_count("text", F.lit(r"\p{L}{3,}+")).cast("long")}
+        {"spans": base_spans(F.col("text")), "words": F.regexp_count("text", F.lit(_TERM)).cast("long")}
+    )
+    named = F.transform(
+        "spans", lambda s: F.struct(s["start"], s["end"], s["kind"], _entity(s["kind"], s["value"]).alias("entity"))
     )
+    return freeze(spans.select("id", "key", F.xxhash64("text").alias("same"), "words", named.alias("spans")), "spans")
 
-    def around(s: Column) -> Column:
-        first = F.greatest(s["start"] - _CONTEXT, F.lit(0)).cast("int")
-        before = F.substring(F.col("text"), first + 1, (s["start"] - first).cast("int"))
-        after = F.substring(F.col("text"), (s["end"] + 1).cast("int"), F.lit(_CONTEXT))
+
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of its spans, so that positions stay."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"])))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+
+    def step(state: Column, s: Column) -> Column:
+        begin, end = F.greatest(s["start"], state["at"]), F.greatest(s["end"], state["at"])
+        gap = F.substring(text, (state["at"] + 1).cast("int"), (begin - state["at"]).cast("int"))
         return F.struct(
-            s["start"],
-            s["end"],
-            s["kind"],
-            _entity(s["kind"], s["value"]).alias("entity"),
-            # words cut off at the outer ends do not count
-            F.when(first > 0, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before).alias("before"),
-            F.when(F.length(after) == _CONTEXT, F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after).alias("after"),
+            end.alias("at"), F.concat(state["out"], gap, F.repeat(F.lit(" "), (end - begin).cast("int"))).alias("out")
         )
 
-    return freeze(spans.select("id", "key", "words", F.transform("spans", around).alias("spans")), "spans")
+    rest = F.lit(2**31 - 1)
+    return F.aggregate(
+        ordered, start, step, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), rest))
+    )
 
 
-def _term_occurrences(found: DataFrame) -> DataFrame:
-    """Terms in the contexts of entities, with their places."""
-    span = found.select("key", F.explode("spans").alias("s")).select("key", "s.*")
-    left = F.transform(
-        matches(F.col("before"), _TERM),
-        lambda m: F.struct(
-            (F.col("start") - F.length("before") + m["start"]).alias("start"),
-            (F.col("start") - F.length("before") + m["end"]).alias("end"),
-            F.lower(m["value"]).alias("term"),
-        ),
-    )
-    right = F.transform(
-        matches(F.col("after"), _TERM),
-        lambda m: F.struct(
-            (F.col("end") + m["start"]).alias("start"), (F.col("end") + m["end"]).alias("end"), F.lower(m["value"]).alias("term")
-        ),
-    )
-    context = F.xxhash64("before", "after").alias("context")
-    return span.select("key", "kind", "entity", context, F.explode(F.concat(left, right)).alias("t")).select(
-        "key", "kind", "entity", "context", "t.*"
-    )
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(row_key(id_col, text_col).alias("key"), text_of(text_col).alias("text"))
+
+
+def _holders(found: DataFrame) -> DataFrame:
+    """Which rows and texts hold which entities."""
+    return found.select("key", "same", F.explode("spans").alias("s")).select("key", "same", "s.kind", "s.entity")
 
 
 def revealing_terms(
-    docs: DataFrame, found: DataFrame, *, disclosure: float = 0.9, least: int = 3, text_col: str = "text"
+    docs: DataFrame,
+    found: DataFrame,
+    *,
+    disclosure: float = 0.9,
+    least: int = 3,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
     """(kind, entity, term) where the term reveals the entity. Runs jobs."""
-    near = _term_occurrences(found)
+    held = _holders(found).groupBy("same", "kind", "entity").agg(F.min("key").alias("key"))
+    held = freeze(held, "held")
+    # entities of fewer texts have no pair with so many
+    contexts = held.groupBy("kind", "entity").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= least)
+    contexts = checked(contexts, "contexts")
+    # one row stands for each text; repeated rows share its key, and the count of the text between them
+    one = held.groupBy("same").agg(F.min("key").alias("key"))
+    rows = found.where(F.size("spans") > 0).groupBy("key").agg(F.count("*").alias("rows"), F.first("spans").alias("spans"))
+    entities = held.join(contexts, ["kind", "entity"]).groupBy("same").agg(
+        F.collect_list(F.struct("kind", "entity")).alias("entities")
+    )
+    reading = checked(entities.join(one, "same").join(rows, "key").select("key", "rows", "spans", "entities"), "reading")
+    plain = _outside(F.col("text"), F.col("spans"))
+    # lower case may be longer, so words are taken first
+    terms = F.array_distinct(F.transform(F.regexp_extract_all(plain, F.lit(_TERM), F.lit(0)), F.lower))
     pairs = (
-        near.select("kind", "entity", "term", "context").distinct()
-        .groupBy("kind", "entity", "term")
-        .agg(F.count("*").alias("together"))
+        _texts(docs, id_col, text_col).join(reading, "key")
+        .select("rows", "entities", F.explode(terms).alias("term"))
+        .select("rows", "term", F.explode("entities").alias("e"))
+        .groupBy("e.kind", "e.entity", "term")
+        .agg(F.round(F.sum(1 / F.col("rows"))).cast("long").alias("together"))
         .where(F.col("together") >= least)
     )
     pairs = freeze(pairs, "pairs")
-    contexts = (
-        found.select(F.explode("spans").alias("s"))
-        .select("s.kind", "s.entity", F.xxhash64("s.before", "s.after").alias("context"))
-        .distinct()
-        .groupBy("kind", "entity")
-        .agg(F.count("*").alias("contexts"))
-    )
-    terms = checked(pairs.select("term").distinct(), "terms")
+    wanted = checked(pairs.select("term").distinct(), "terms")
     words = docs.select(F.explode(F.regexp_extract_all(text_of(text_col), F.lit(_TERM), F.lit(0))).alias("term"))
-    counts = words.groupBy(F.lower("term").alias("term")).agg(F.count("*").alias("often"))
-    often = counts.join(terms, "term")
+    often = words.groupBy(F.lower("term").alias("term")).agg(F.count("*").alias("often")).join(wanted, "term")
     total = found.agg(F.sum("words").alias("total")).first()["total"] or 1  # one row
     information = F.log(F.col("together") * float(total) / (F.col("contexts") * F.col("often")))
     whole = F.log(F.lit(float(total)) / F.col("contexts"))
@@ -207,12 +215,19 @@ def all_spans(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows (id, key, spans) with base spans, and rows (key, terms) with the added ones. Runs jobs."""
     found = found_spans(docs, id_col, text_col)
-    revealing = checked(revealing_terms(docs, found, disclosure=disclosure, least=least, text_col=text_col), "revealing")
-    hits = _term_occurrences(found).join(revealing, ["kind", "entity", "term"])
-    added = hits.groupBy("key").agg(
-        F.array_distinct(F.collect_list(F.struct("start", "end", F.lit(4).alias("kind")))).alias("terms")
+    revealing = checked(
+        revealing_terms(docs, found, disclosure=disclosure, least=least, id_col=id_col, text_col=text_col), "revealing"
+    )
+    names = _holders(found).join(revealing, ["kind", "entity"]).groupBy("key").agg(F.collect_set("term").alias("names"))
+    spans = found.where(F.size("spans") > 0).select("key", "spans").dropDuplicates(["key"])
+    marking = checked(names.join(spans, "key"), "marking")
+    hits = matches(
+        _outside(F.col("text"), F.col("spans")), _TERM, lambda hit: F.array_contains("names", F.lower(hit))
+    )
+    added = _texts(docs, id_col, text_col).join(marking, "key").select(
+        "key", F.transform(hits, lambda s: F.struct(s["start"], s["end"], F.lit(4).alias("kind"))).alias("terms")
     )
-    return found, checked(added, "terms")
+    return found, checked(added.dropDuplicates(["key"]), "terms")
 
 
 def _ordered(spans: Column) -> Column:

@@ -330,6 +330,24 @@ def test_terms_that_reveal_an_entity(spark):
     assert "zorblax" not in clean[0] and "[email]" in clean[0] and clean[100] == rows[6][1]
 
 
+def test_terms_reveal_an_entity_from_anywhere_in_its_texts(spark):
+    """Far from the entity, in every place, and numbers too; two equal rows are one text."""
+    gap = " word of filler".join(f" {i}" for i in range(12))
+    rows = [(i, f"Zorblax \u0130 {i}xy{gap} eve@site.org{gap} staff 77345 zorblax") for i in range(4)]
+    rows += [(100 + i, f"note {i} {gap} staff of the day about nothing") for i in range(300)]
+    rows += [(900, f"kwyjibo {i} bob@site.org") for i in range(2)] + [(900, "kwyjibo 0 bob@site.org")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = rows[0][1]
+    got = {r.doc_id: r.spans for r in pii.report(docs).collect()}
+    for at in (0, text.rindex("zorblax")):
+        assert f"term:{at}:{at + 7}" in got[0]
+    at = text.index("77345")
+    assert f"term:{at}:{at + 5}" in got[0] and got[0].count("term:") == 3
+    assert "term" not in got[900] and got[100] == ""
+    clean = {r.doc_id: r.text for r in pii.sanitize(docs).collect()}
+    assert "orblax" not in clean[0] and "77345" not in clean[0] and "[email]" in clean[0] and "staff" in clean[0]
+
+
 def test_personal_data_on_awkward_tables(spark):
     docs = awkward(spark)
     assert pii.report(docs).count() == docs.count()
