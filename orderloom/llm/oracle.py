@@ -119,5 +119,43 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN page_id > first THEN first END AS refers_to
 FROM f
+""",
+    "op13_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM words GROUP BY 1),
+runs AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) AS phrase
+  FROM words, range(1, 5) AS t(k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (
+  SELECT lang, k, phrase, f AS a, unnest(range(1, k)) AS cut, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+scored AS (
+  SELECT c.lang, c.k, c.phrase, c.a, c.cut, l.f AS l, r.f AS r,
+         CAST(CAST(2000000 AS HUGEINT) * c.a // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score
+  FROM cuts AS c
+  JOIN f AS l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1 : c.cut], ' ')
+  JOIN f AS r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[c.cut + 1 :], ' ')),
+low AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_runs AS (
+  SELECT lang, f, string_split(phrase, ' ') AS ws, k, unnest(range(2, k)) AS size FROM f WHERE k > 2),
+inner_phrases AS (
+  SELECT lang, f, array_to_string(ws[i : i + size - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, k - size + 2)) AS i FROM inner_runs)),
+longer AS (SELECT lang, phrase, max(f) AS f FROM inner_phrases GROUP BY 1, 2),
+kept AS (
+  SELECT low.* FROM low LEFT JOIN longer USING (lang, phrase)
+  WHERE longer.f IS NULL OR CAST(100 AS HUGEINT) * longer.f < CAST(80 AS HUGEINT) * low.a)
+SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang)
+WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+QUALIFY row_number() OVER w <= 2000
 """,
 }

@@ -5,15 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm import bpe, exact_dedup, jaccard, licenses, mixing, pii, pitman_yor, topk, toxicity, warc
+from orderloom.llm import (
+    bpe,
+    collocations,
+    exact_dedup,
+    jaccard,
+    language_id,
+    licenses,
+    mixing,
+    pii,
+    pitman_yor,
+    token_alignment,
+    topk,
+    toxicity,
+    warc,
+)
 from orderloom.llm.common import table
 
 
-def vocabulary() -> str:
-    """Where the installed vocabulary file lies; it is the same on every machine."""
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Where an installed vocabulary file lies; it is the same on every machine."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +99,29 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved_records(spark, path)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = token_alignment.align(
+        docs,
+        vocabulary(),
+        vocabulary("piece_bpe_32k.model"),
+        shown=lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups, 256)),
+    )
+    return aligned.drop("text").withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(toxicity.fold("doc_id", 4) != 2))
+    return language_id.identify(docs.drop("lang"), model).select(
+        "doc_id", (toxicity.fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score"
+    )
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_toxicity": op2_toxicity,
@@ -96,4 +133,7 @@ QUERIES = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_warc_revisits": op10_warc_revisits,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_language_id": op12_language_id,
+    "op13_collocations": op13_collocations,
 }
