@@ -155,6 +155,11 @@ def complaint_rate(orders: DataFrame, excluded=NEVER_SERVED) -> DataFrame:
             F.count("*").alias("_rows"),
         )
     )
+    return complaint_share(counts)
+
+
+def complaint_share(counts: DataFrame) -> DataFrame:
+    """The rates from monthly counts of served orders."""
     return counts.select(
         month_label(F.col("_month")).alias("order_month"),
         "total_orders",

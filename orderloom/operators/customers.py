@@ -2,19 +2,21 @@
 
 Every analysis groups the orders by customer. Retention first reduces them to one row per customer
 and active month, in the task that reads them, so even a customer with a third of all orders is
-small. The split by first order carries the months as a set instead (its size is bounded by the
-calendar), because the first order needs the same grouping.
+small. The split by first order carries 64 months in one number instead, beside the first order in
+one number too, so its grouping hashes into buffers of fixed width.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderloom.functions.calendar import month_index, month_label, month_of_index, month_start
-from orderloom.functions.rates import cents, count_where, money_sum, pct
-from orderloom.functions.ranking import with_rank, with_tile
+from orderloom.functions.rates import WIDE, cents, count_where, money_sum, pct
 from orderloom.functions.scalars import with_scalars
+from orderloom.functions.selection import with_tiles, with_top
 
 # Scoring rules and default cut-offs.
 RFM_TILES = 5
@@ -23,6 +25,9 @@ SENSITIVITY_PCTS = (40, 45, 50, 55, 60, 65, 70)
 TOP_SPENDER_PCTS = (10, 20)
 
 _PLACED = "order_placed_at"
+_MONTH = f"(year({_PLACED}) * 12 + month({_PLACED}) - 1)"
+#: Microseconds of a time that comes after all others.
+_NEVER = 9 * 10**17
 
 
 def _known_customer(orders: DataFrame) -> DataFrame:
@@ -49,15 +54,15 @@ def cohort_sizes(orders: DataFrame) -> DataFrame:
     )
 
 
-def customer_months(orders: DataFrame, *more: Column) -> DataFrame:
-    """Per known customer: the set of active months as month numbers, and ``more`` aggregates."""
+def month_bitmaps(orders: DataFrame, *more: Column) -> DataFrame:
+    """customer_id, word, bits and ``more`` aggregates: bit ``i`` of ``bits`` is set if the known customer was
+    active in month ``64 * word + i``. Undated orders are a row of their own, without word. A customer has as many rows
+    as words, whatever the number of orders or years."""
     month = month_index(F.col(_PLACED))
-    return _known_customer(orders).groupBy("customer_id").agg(
-        F.min(month).alias("cohort_index"),
-        F.collect_set(month).alias("active_months"),
-        count_where(month.isNull()).alias("undated_orders"),
-        *more,
+    known = _known_customer(orders).withColumns(
+        {"word": F.floor(month / 64), "_bit": F.expr(f"shiftleft(1L, cast(pmod({_MONTH}, 64) AS int))")}
     )
+    return known.groupBy("customer_id", "word").agg(F.expr("bit_or(_bit)").alias("bits"), *more)
 
 
 def active_months(orders: DataFrame) -> DataFrame:
@@ -71,23 +76,18 @@ def active_months(orders: DataFrame) -> DataFrame:
     return months.withColumn("cohort_index", F.min("month").over(Window.partitionBy("customer_id")))
 
 
-def _activity(per_customer: DataFrame, *keep: str) -> DataFrame:
-    """One row per (customer, active month) as months since the first; undated orders give NULL."""
-    undated = F.when(F.col("undated_orders") > 0, F.array(F.lit(None).cast("int")))
-    months = F.concat("active_months", F.coalesce(undated, F.array().cast("array<int>")))
-    return per_customer.select(*keep, "cohort_index", F.explode(months).alias("_month")).select(
-        *keep,
-        "cohort_index",
-        (F.col("_month") - F.col("cohort_index")).cast("bigint").alias("months_since_first_order"),
-    )
-
-
 def _retention(activity: DataFrame, *keys: str) -> DataFrame:
     """Active customers by offset beside those at the first offset of the same cohort."""
     group = [*keys, "cohort_index"]
     per = activity.groupBy(*group, "months_since_first_order").agg(
         F.count("*").alias("active_customers")
     )
+    return _with_cohort_size(per, *keys)
+
+
+def _with_cohort_size(per: DataFrame, *keys: str) -> DataFrame:
+    """``per``: active customers by ``keys``, cohort and offset."""
+    group = [*keys, "cohort_index"]
     # One row per month of a cohort.
     start = Window.partitionBy(*group).orderBy(F.col("months_since_first_order").asc_nulls_last())
     sized = per.withColumn("cohort_size", F.first("active_customers").over(start))
@@ -153,13 +153,16 @@ def frequency_band(orders: Column) -> Column:
 def rfm_scores(base: DataFrame) -> DataFrame:
     """Recency and spend fifths and the frequency band; ties fall to the customer id.
 
-    Runs jobs: each score orders the customer table once and writes it.
+    Runs jobs: the customer table is written once, and the borders of the fifths are selected from it.
     """
-    key = F.col("customer_id").asc_nulls_last()
-    recency = [F.col("recency_days").desc_nulls_first(), key]
-    spend = [F.col("monetary_total").asc_nulls_last(), key]
-    scored = with_tile(base, recency, RFM_TILES, "r_score")
-    scored = with_tile(scored, spend, RFM_TILES, "m_score")
+    recency, spend = F.col("recency_days"), F.col("monetary_total")
+    customer = [F.col("customer_id").isNull().alias("unnamed"), F.col("customer_id").alias("id")]
+    keys = {
+        # longest ago first, unknown before all
+        "r_score": F.struct(recency.isNotNull().alias("known"), (-recency).alias("value"), *customer),
+        "m_score": F.struct(spend.isNull().alias("unknown"), spend.alias("value"), *customer),
+    }
+    scored = with_tiles(base, keys, RFM_TILES)
     return scored.withColumn("f_score", frequency_band(F.col("frequency_orders")))
 
 
@@ -211,12 +214,43 @@ def first_order_attribute(orders: DataFrame) -> DataFrame:
     return per.select("customer_id", F.col("_first.flag").alias("first_order_had_discount"))
 
 
+def _first_order_number() -> Column:
+    """The same choice as ``_first_order`` as one whole number of fixed width: time, id, flag."""
+    micros = F.coalesce(F.unix_micros(F.col(_PLACED).cast("timestamp")), F.lit(_NEVER)).cast("decimal(19,0)")
+    # order ids from 0 on, unknown ones first
+    order = F.coalesce(F.col("order_id").cast("decimal(20,0)"), F.lit(Decimal(-(2**63)))) + F.lit(Decimal(2**63))
+    flag = F.when(discounted(), 1).otherwise(0)
+    number = (micros.cast("decimal(18,0)") * F.lit(Decimal(2**64))).cast(WIDE) + order.cast("decimal(20,0)")
+    return F.min((number.cast(WIDE) * 2 + flag).cast(WIDE))
+
+
 def retention_by_first_order(orders: DataFrame) -> DataFrame:
-    """Retention matrix split by whether the first order was discounted."""
-    per = customer_months(orders, _first_order().alias("_first"))
+    """Retention matrix split by whether the first order was discounted.
+
+    Every aggregate has a buffer of fixed width: months are bits, the first order is one number, and the
+    customers active at an offset are sums of bits.
+    """
     flag = "first_order_had_discount"
-    flagged = per.withColumn(flag, F.col("_first.flag"))
-    return _retention(_activity(flagged, flag), flag)
+    month = month_index(F.col(_PLACED))
+    words = month_bitmaps(orders, F.min(month).alias("_month"), _first_order_number().alias("_first"))
+    customer = Window.partitionBy("customer_id")  # one row for each word
+    flagged = words.select(
+        F.min("_month").over(customer).alias("cohort_index"),
+        (F.min("_first").over(customer) % 2 != 0).alias(flag),
+        "word",
+        "bits",
+    )
+    bits = [F.sum(F.expr(f"shiftrightunsigned(bits, {i}) & 1L")).alias(f"_{i}") for i in range(64)]
+    sums = flagged.groupBy(flag, "cohort_index", "word").agg(F.count("*").alias("_rows"), *bits)
+    by_month = F.inline(
+        F.array(*(F.struct((F.col("word") * 64 + i).alias("month"), F.col(f"_{i}").alias("active_customers")) for i in range(64)))
+    )
+    dated = sums.where(F.col("word").isNotNull()).select(flag, "cohort_index", by_month).where("active_customers > 0")
+    undated = sums.where(F.col("word").isNull()).select(
+        flag, "cohort_index", F.lit(None).cast("bigint").alias("month"), F.col("_rows").alias("active_customers")
+    )
+    since = (F.col("month") - F.col("cohort_index")).cast("bigint").alias("months_since_first_order")
+    return _with_cohort_size(dated.unionAll(undated).select(flag, "cohort_index", since, "active_customers"), flag)
 
 
 def promo_usage(orders: DataFrame) -> DataFrame:
@@ -267,18 +301,15 @@ def spend_concentration(
     """Revenue share of the top spenders among promo-dependent customers.
 
     The top p percent are the first ``ceil(p * n / 100)`` by spend, ties by customer id.
-    Runs a job that orders those customers and writes them.
+    Runs jobs: those customers are written once, and the borders are selected from them.
     """
-    dependent = promo_usage(orders).where(_depends_on_promo(threshold_pct))
-    ranked = with_rank(
-        dependent.select("customer_id", "spend"),
-        [F.col("spend").desc_nulls_last(), F.col("customer_id").asc()],
-        "rank",
-        "n",
-    )
+    dependent = promo_usage(orders).where(_depends_on_promo(threshold_pct)).select("customer_id", "spend")
+    spend = F.col("spend")
+    key = F.struct(spend.isNull().alias("unknown"), (-spend).alias("value"), F.col("customer_id").alias("id"))
+    ranked = with_top(dependent, key, {f"in_{p}": p for p in top_pcts})
     sums = []
     for p in top_pcts:
-        inside = F.col("rank") <= F.ceil(F.col("n") * p / 100)
+        inside = F.col(f"in_{p}")
         sums += [count_where(inside).alias(f"n_{p}"), F.sum(F.when(inside, F.col("spend"))).alias(f"s_{p}")]
     wide = ranked.agg(F.sum("spend").alias("total"), *sums)
     rows = F.array(

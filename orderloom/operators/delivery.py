@@ -110,6 +110,37 @@ def late_rate_by(segments: DataFrame, *dims: str, volume_floor: int = VOLUME_FLO
     )
 
 
+def late_rates_by_grain(
+    segments: DataFrame, grains: dict[str, tuple[str, ...]], volume_floor: int = VOLUME_FLOOR
+) -> DataFrame:
+    """``late_rate_by`` for several sets of dimensions from one scan and one shuffle of partial counts.
+
+    ``grains``: name -> columns. Rows are told apart by ``grain``; columns that a grain does not have are NULL.
+    """
+    dims = list(dict.fromkeys(c for columns in grains.values() for c in columns))
+    rows = deliverable(segments).select(*dims, _is_late().alias("_is_late"))
+    # spark numbers a grouping set by the columns it leaves out, the first one highest
+    numbers = {
+        name: sum(1 << (len(dims) - 1 - i) for i, c in enumerate(dims) if c not in columns)
+        for name, columns in grains.items()
+    }
+    if len(set(numbers.values())) < len(grains):
+        raise ValueError("two grains have the same columns")
+    per = rows.groupingSets([[F.col(c) for c in columns] for columns in grains.values()], *dims).agg(
+        F.grouping_id().alias("_number"),
+        F.count("*").alias("deliverable_orders"),
+        count_where(F.col("_is_late")).alias("_late"),
+    )
+    grain = F.element_at(F.create_map(*(F.lit(x) for name, n in numbers.items() for x in (n, name))), F.col("_number").cast("int"))
+    return per.select(
+        grain.alias("grain"),
+        *dims,
+        "deliverable_orders",
+        pct(F.col("_late"), F.col("deliverable_orders")).alias("late_rate_pct"),
+        (F.col("deliverable_orders") < volume_floor).alias("is_low_volume"),
+    )
+
+
 def brand_outlet_rates(segments: DataFrame, volume_floor: int = VOLUME_FLOOR) -> DataFrame:
     """Late rate of every outlet beside the lowest rate among its brand's outlets.
 

@@ -53,6 +53,11 @@ def rolling_daily_late_rate(orders_late: DataFrame, days: int = 7, calendar: boo
     per = orders_late.groupBy(F.col(_PLACED).cast("date").alias("order_date")).agg(
         _deliverable().alias("daily_deliverable_orders"), _late().alias("daily_late_orders")
     )
+    return roll_days(per, days, calendar)
+
+
+def roll_days(per: DataFrame, days: int, calendar: bool) -> DataFrame:
+    """The rates from one row of counts per day."""
     if calendar:
         frame = Window.orderBy(F.unix_date("order_date")).rangeBetween(1 - days, 0)
     else:
@@ -70,6 +75,11 @@ def rolling_monthly_late_rate(orders_late: DataFrame, months: int = 3) -> DataFr
     per = orders_late.groupBy(month_start(F.col(_PLACED)).alias("_month")).agg(
         _deliverable().alias("monthly_deliverable_orders"), _late().alias("monthly_late_orders")
     )
+    return roll_months(per, months)
+
+
+def roll_months(per: DataFrame, months: int) -> DataFrame:
+    """The rates from one row of counts per month."""
     frame = Window.orderBy(F.col("_month").asc_nulls_last()).rowsBetween(1 - months, 0)
     names = {
         "count": "monthly_deliverable_orders",
@@ -111,8 +121,15 @@ def monthly_partner_outliers(
             _late().alias("_late"),
             F.count("*").alias("_rows"),
         )
-        .withColumn("late_rate_pct", pct(F.col("_late"), F.col("monthly_deliverable_orders")))
     )
+    return test_partner_months(per, sds, volume_floor)
+
+
+def test_partner_months(
+    counts: DataFrame, sds: float = OUTLIER_SDS, volume_floor: int = PARTNER_MONTH_FLOOR
+) -> DataFrame:
+    """The test on one row of counts per month and partner."""
+    per = counts.withColumn("late_rate_pct", pct(F.col("_late"), F.col("monthly_deliverable_orders")))
     # Always true; it makes both branches need the same columns, so they share one shuffle.
     stats = (
         per.where(F.col("_rows") > 0)
@@ -185,6 +202,13 @@ def partner_concentration(
     per = rows.groupBy(month_start(F.col(_PLACED)).alias("_month"), "subzone", "partner_id").agg(
         F.count("order_id").alias("_n")
     )
+    return lead_of_zone_months(per, risk_pct, volume_floor)
+
+
+def lead_of_zone_months(
+    per: DataFrame, risk_pct: float = CONCENTRATION_PCT, volume_floor: int = ZONE_MONTH_FLOOR
+) -> DataFrame:
+    """The largest partner from one row of counts per month, zone and partner."""
     lead = F.struct((-F.col("_n")).alias("_neg"), F.isnull("partner_id").alias("_unknown"), "partner_id")
     top = per.groupBy("_month", "subzone").agg(
         F.min(lead).alias("_top"), F.sum("_n").alias("subzone_total_orders")

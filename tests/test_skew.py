@@ -77,8 +77,28 @@ def test_hot_customer(spark):
     got = {(r.cohort_month, r.months_since_first_order): r.active_customers for r in cust.retention_matrix(df).collect()}
     named = {(f"{(k - 1) // 12}-{(k - 1) % 12 + 1:02d}", o): n for (k, o), n in expected.items()}
     assert got == named
-    per_customer = cust.customer_months(df)
-    assert sum(shuffled_rows(per_customer)) < N * 0.75
+    bitmaps = cust.month_bitmaps(df)
+    assert sum(shuffled_rows(bitmaps)) < N * 0.75
+    flagged = df.withColumn("discount_construct", F.when(F.col("order_id") % 2 == 0, "x"))
+    split = defaultdict(int)
+    for r in cust.retention_by_first_order(flagged).collect():
+        split[r.cohort_month, r.months_since_first_order] += r.active_customers
+    assert split == named
+
+
+def test_months_beyond_one_number(spark):
+    """Activity over centuries, before and after the year 0 of the bit count, and orders without a date."""
+    dates = [datetime(1, 1, 5), datetime(1969, 12, 31), datetime(1970, 1, 1), datetime(2275, 6, 1), datetime(9999, 12, 1), None]
+    rows = [(i, "a", d) for i, d in enumerate(dates)] + [(9, "b", None), (10, "c", dates[2]), (11, None, dates[2])]
+    df = spark.createDataFrame(rows, "order_id bigint, customer_id string, order_placed_at timestamp_ntz")
+    df = df.withColumn("discount_construct", F.when(F.col("order_id").isin(0, 9), "x"))
+    got = {
+        (r.first_order_had_discount, r.cohort_month, r.months_since_first_order, r.active_customers)
+        for r in cust.retention_by_first_order(df).collect()
+    }
+    start = 12
+    since = [(d.year * 12 + d.month - 1) - start if d else None for d in dates]
+    assert got == {*((True, "0001-01", n, 1) for n in since), (True, None, None, 1), (False, "1970-01", 0, 1)}
 
 
 def test_hot_value_in_a_ranking(spark):

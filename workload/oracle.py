@@ -584,6 +584,57 @@ SQL["k6_concentration_known_partners"] = "SELECT * FROM concentration"
 SQL["e3_retention_from_landing"] = "SELECT * FROM retention"
 SQL["d9_outliers_from_landing"] = SQL["d9_clean_baseline_retest"]
 
+SQL["a5_counts_from_load"] = SQL["a5_row_reconciliation"]
+SQL["d4_segments_from_layers"] = SQL["d4_delivery_segments"]
+SQL["k1_from_kept_counts"] = SQL["k1_rolling_7day_late_rate"]
+SQL["k2_from_kept_counts"] = SQL["k2_rolling_3month_late_rate"]
+SQL["k4_from_kept_counts"] = SQL["k4_monthly_partner_outliers"]
+SQL["k6_from_kept_counts"] = SQL["k6_partner_concentration"]
+SQL["e20_from_kept_counts"] = SQL["e20_complaint_rate"]
+SQL["b12_defects_from_load"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS issue, {count} AS row_count FROM tidy"
+    for name, count in _ISSUES.items()
+    if name not in ("orphaned_restaurant", "repeated_order")
+)
+SQL["a4_batches_loaded_once"] = """
+    SELECT order_status, count(*) AS orders, sum(total)::DOUBLE AS total FROM ord GROUP BY 1
+    UNION ALL SELECT 'rows', count(*), NULL FROM ord"""
+SQL["a4_new_files_once"] = """
+    SELECT restaurant_name, false AS rejected, count(*) AS outlets FROM outlet GROUP BY 1"""
+SQL["a1_malformed_rows_kept"] = """
+    WITH o AS (SELECT *, restaurant_id % 50 AS k,
+               restaurant_id || ',"' || restaurant_name || '","' || subzone || '"' AS begun FROM outlet)
+    SELECT restaurant_id::VARCHAR AS restaurant_id,
+           CASE k WHEN 3 THEN begun WHEN 4 THEN begun || ',metro city,"a, b"'
+                  ELSE restaurant_name || '|' || subzone || '|metro city' END AS content,
+           CASE k WHEN 3 THEN 'too few fields' WHEN 4 THEN 'too many fields' END AS reason
+    FROM o
+    UNION ALL SELECT NULL, count(*)::VARCHAR, 'rows' FROM o
+    UNION ALL SELECT NULL, count(CASE WHEN k NOT IN (3, 4) THEN 1 END)::VARCHAR, 'good_rows' FROM o
+    UNION ALL SELECT NULL, count(CASE WHEN k = 3 THEN 1 END)::VARCHAR, 'too_few_fields' FROM o
+    UNION ALL SELECT NULL, count(CASE WHEN k = 4 THEN 1 END)::VARCHAR, 'too_many_fields' FROM o"""
+_GRAINS = {
+    "outlet": ("restaurant_id",),
+    "brand outlet": ("restaurant_name", "restaurant_id"),
+    "zone": ("subzone",),
+    "partner": ("partner_id",),
+    "zone and band": ("subzone", "distance_band"),
+}
+_KINDS = {"restaurant_id": "BIGINT"}
+
+
+def _one_grain(name: str, keys: tuple[str, ...]) -> str:
+    columns = dict.fromkeys(c for grain in _GRAINS.values() for c in grain)
+    shown = ", ".join(c if c in keys else f"NULL::{_KINDS.get(c, 'VARCHAR')} AS {c}" for c in columns)
+    return (
+        f"SELECT '{name}' AS grain, {shown}, count(*) AS deliverable_orders, "
+        + pct("count(CASE WHEN delivery_status = 'late' THEN 1 END)", "count(*)")
+        + f" AS late_rate_pct, count(*) < 30 AS is_low_volume FROM dlv GROUP BY {', '.join(keys)}"
+    )
+
+
+SQL["d6_late_rates_by_grain"] = " UNION ALL ".join(_one_grain(*grain) for grain in _GRAINS.items())
+
 # Frames that differ for single queries.
 _OVERRIDES = {
     "k6_concentration_known_partners": {

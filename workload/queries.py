@@ -12,8 +12,8 @@ from orderloom.operators import customers as cust
 from orderloom.operators import delivery as dlv
 from orderloom.operators import delivery_kpis as kpi
 from orderloom.operators import prep, quality, staging
-from orderloom.plans import flows
-from orderloom.sources import files, layers
+from orderloom.plans import flows, upkeep
+from orderloom.sources import commits, files, layers, quarantine
 from workload import fixtures as fx
 
 ZONE = "asia"
@@ -101,8 +101,7 @@ def a4_bulk_append(spark, d):
     return house.source("raw", "orders").groupBy("order_status").agg(F.count("*").alias("orders"))
 
 
-@query
-def a5_row_reconciliation(spark, d):
+def _expected_rows(spark, d) -> DataFrame:
     def rows(name):
         return fx.table(spark, d, name)
 
@@ -114,16 +113,20 @@ def a5_row_reconciliation(spark, d):
         "restaurants_dim": rows("part").agg(F.count("*").alias("n")),
         "delivery_partners_dim": rows("supplier").agg((F.count("*") + 1).alias("n")),
     }
-    expected = layers.append_batches(
+    return layers.append_batches(
         *(df.select(F.lit(t).alias("table_name"), F.col("n").alias("expected_rows")) for t, df in counted.items())
     )
+
+
+@query
+def a5_row_reconciliation(spark, d):
     tables = {
         "orders_raw": fx.orders_raw(spark, d),
         "delivery_ops_fact": fx.ops_raw(spark, d),
         "restaurants_dim": fx.restaurants(spark, d),
         "delivery_partners_dim": fx.partners(spark, d),
     }
-    return layers.reconcile_row_counts(tables, expected)
+    return layers.reconcile_row_counts(tables, _expected_rows(spark, d))
 
 
 @query
@@ -172,6 +175,90 @@ def a10_batch_append(spark, d):
     )
 
 
+def _committed(spark, label) -> commits.CommittedTable:
+    return commits.CommittedTable(spark, storage.new_path(spark, label))
+
+
+def _early_and_late(df: DataFrame) -> list[DataFrame]:
+    """Two batches by year; undated orders come first."""
+    recent = F.coalesce(F.year("order_placed_at") >= 1998, F.lit(False))
+    return [df.where(~recent), df.where(recent)]
+
+
+@query
+def a4_batches_loaded_once(spark, d):
+    """The first batch is tried again, the second stops half-way before it is loaded."""
+    table = _committed(spark, "once")
+    early, late = _early_and_late(fx.orders(spark, d).select("order_id", "order_placed_at", "order_status", "total"))
+    table.append("early", early)
+    table.append("early", early)
+    late.where("order_id % 2 = 0").write.parquet(f"{table.root}/data/late-half")  # never committed
+    table.append("late", late)
+    loaded = table.read().groupBy("order_status").agg(
+        F.count("*").alias("orders"), F.sum("total").cast("double").alias("total"))
+    return loaded.unionAll(table.totals().select("name", "value", F.lit(None).cast("double")))
+
+
+@query
+def a1_malformed_rows_kept(spark, d):
+    """Outlets as CSV; some lines lack a field, some have one too many."""
+    path, table = storage.new_path(spark, "outlet-lines"), _committed(spark, "checked")
+    quoted = """concat('"', restaurant_name, '","', subzone, '"')"""
+    line = f"""concat(restaurant_id, ',', CASE WHEN restaurant_id % 50 = 3 THEN {quoted}
+                 WHEN restaurant_id % 50 = 4 THEN concat({quoted}, ',metro city,"a, b"')
+                 ELSE concat({quoted}, ',metro city') END)"""
+    lines = fx.restaurants(spark, d).selectExpr(f"{line} AS `a,b,c,d`")
+    # unquoted, with a separator that no line holds: each file has a header and the lines as they are
+    lines.write.options(header=True, sep="\x01", quote="", escapeQuotes=False).csv(path)
+    quarantine.load_checked(table, "all", "restaurants_dim", path)
+    good = quarantine.good_rows(table, "restaurants_dim").select(
+        "restaurant_id", F.concat_ws("|", "restaurant_name", "subzone", "city").alias("content"), F.lit(None).cast("string").alias("reason")
+    )
+    refused = quarantine.refused_rows(table).select(
+        F.substring_index("record", ",", 1).alias("restaurant_id"), F.col("record").alias("content"), "reason"
+    )
+    counts = table.totals().select(F.lit(None).cast("string"), F.col("value").cast("string"), "name")
+    return good.unionAll(refused).unionAll(counts)
+
+
+@query
+def a4_new_files_once(spark, d):
+    """Two rounds of files and one without any, by the file stream."""
+    files_at, target, memory = (storage.new_path(spark, x) for x in ("landed", "streamed", "memory"))
+    outlets = fx.restaurants(spark, d)
+    for part in (outlets.where("restaurant_id % 2 = 0"), outlets.where("restaurant_id % 2 <> 0"), None):
+        if part is not None:
+            part.write.mode("append").options(header=True, quote='"', escape='"').csv(files_at)
+        quarantine.stream_checked_files(spark, "restaurants_dim", files_at, target, memory)
+    streamed = quarantine.streamed_rows(spark, "restaurants_dim", target)
+    return streamed.groupBy("restaurant_name", "rejected").agg(F.count("*").alias("outlets"))
+
+
+@query
+def a5_counts_from_load(spark, d):
+    tables = {
+        "orders_raw": fx.orders_raw(spark, d),
+        "delivery_ops_fact": fx.ops_raw(spark, d),
+        "restaurants_dim": fx.restaurants(spark, d),
+        "delivery_partners_dim": fx.partners(spark, d),
+    }
+    loaded = {name: _committed(spark, name) for name in tables}
+    for name, df in tables.items():
+        loaded[name].append("all", df)
+    return commits.reconcile_commits(loaded, _expected_rows(spark, d))
+
+
+@query
+def b12_defects_from_load(spark, d):
+    """Two batches of landing orders, their defects counted while they are written."""
+    table = _committed(spark, "defects")
+    landed = _landed(spark, d)
+    for k in (0, 1):
+        part = landed.where(F.pmod(F.crc32("order_id"), F.lit(2)) == k)
+        table.append(f"part-{k}", part, metrics=quality.value_defects())
+    return quality.defects_from_commits(table)
+
+
 # -- B: cleaning -------------------------------------------------------------------------
 
 
@@ -373,6 +460,32 @@ def d4_delivery_segments(spark, d):
     )
 
 
+@query
+def d4_segments_from_layers(spark, d):
+    """Stored tables laid out by order: neither the grouping nor the join needs an exchange."""
+    house = layers.Warehouse(spark, storage.new_path(spark, "laid-out"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    orders = fx.orders(spark, d, line=True).select("order_id", "order_status", "distance_km")
+    orders = house.publish_bucketed("raw", "orders", orders, ["order_id"], buckets)
+    ops = house.publish_bucketed("raw", "delivery_ops", fx.ops(spark, d), ["order_id"], buckets)
+    return _by_name(
+        dlv.delivery_segments(orders, dlv.resolve_repeated(ops)),
+        "order_id", "order_status", "partner_id", "was_reassigned", "delivery_status", "distance_band",
+    )
+
+
+@query
+def d6_late_rates_by_grain(spark, d):
+    grains = {
+        "outlet": ("restaurant_id",),
+        "brand outlet": ("restaurant_name", "restaurant_id"),
+        "zone": ("subzone",),
+        "partner": ("partner_id",),
+        "zone and band": ("subzone", "distance_band"),
+    }
+    return dlv.late_rates_by_grain(_segments(spark, d, line=True, zone=True), grains)
+
+
 @query
 def d5_distance_bands(spark, d):
     orders = fx.orders(spark, d, line=True)
@@ -532,6 +645,42 @@ def k6b_dominance_tally(spark, d):
     return kpi.dominance_tally(kpi.partner_concentration(_lateness(spark, d, "inner", zone=True)))
 
 
+def _kept_up(spark, d) -> upkeep.DailyCounts:
+    """Two batches of orders; the second is counted wrongly first and then replaced."""
+    counts = upkeep.DailyCounts(_committed(spark, "daily-counts"))
+    resolved = _resolved(spark, d)
+    early, late = _early_and_late(fx.orders(spark, d, zone=True))
+    counts.add("early", early, resolved)
+    counts.add("late", late.where("order_id % 3 = 0"), resolved)
+    counts.add("late", late, resolved, replace=True)
+    return counts
+
+
+@query
+def k1_from_kept_counts(spark, d):
+    return _kept_up(spark, d).rolling_daily_late_rate()
+
+
+@query
+def k2_from_kept_counts(spark, d):
+    return _kept_up(spark, d).rolling_monthly_late_rate()
+
+
+@query
+def k4_from_kept_counts(spark, d):
+    return _kept_up(spark, d).monthly_partner_outliers()
+
+
+@query
+def k6_from_kept_counts(spark, d):
+    return _kept_up(spark, d).partner_concentration()
+
+
+@query
+def e20_from_kept_counts(spark, d):
+    return _kept_up(spark, d).complaint_rate()
+
+
 # -- E: customers ------------------------------------------------------------------------
 
 
