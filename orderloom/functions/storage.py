@@ -32,8 +32,13 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_folder(spark)}/orderloom/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/orderloom/{label}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def freeze(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
@@ -50,7 +55,7 @@ def freeze(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Delete everything this library has written to the shared folder. Results that were not
-    computed to their end by then cannot be read afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/orderloom")
+    """Delete everything this library has written to the shared folder for this application; others keep
+    theirs. Results that were not computed to their end by then cannot be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
