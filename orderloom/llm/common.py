@@ -11,8 +11,9 @@ from orderloom.functions.storage import freeze
 
 #: White space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = " \t\n\x0b\x0c\r"
-#: A table is broadcast only when it was written, counted, and holds at most so many rows.
-BROADCAST_ROWS = 1_000_000
+#: A table is broadcast only when it was written, counted, and holds at most so many rows and so many bytes as
+#: Parquet.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +56,33 @@ def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def tidied(run):
+    """``run`` over batches; at its end the worker gives memory that it holds but does not use back to the machine.
+
+    Workers are used again by later stages, and what one stage has held at its peak would stay with them.
+    """
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        return
+
+
 def buckets_for(spark: SparkSession, amount: int, each: int) -> int:
     """So many buckets that one holds about ``each`` of ``amount``, but not fewer than the session's width."""
     return max(width(spark), math.ceil(amount / each))
@@ -66,4 +94,6 @@ def checked(df: DataFrame, label: str, most: int = BROADCAST_ROWS) -> DataFrame:
     The written table also cuts the lineage, so nothing is computed again for the join.
     """
     written = freeze(df, label)
-    return F.broadcast(written) if written.count() <= most else written
+    size = int(str(written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    small = size <= BROADCAST_BYTES and written.count() <= most
+    return F.broadcast(written) if small else written

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderloom.functions.storage import freeze
-from orderloom.llm.common import checked, fresh, text_of, width, without_space
+from orderloom.llm.common import buckets_for, checked, fresh, text_of, without_space
 
 _FILTER = (
     "segment int, quotient_bits int, entries long, occupied binary, run_ends binary, "
@@ -34,6 +34,7 @@ _FILTER = (
 )
 #: Fingerprints a task gathers before it packs them, which bounds its memory.
 _FLUSH = 4_000_000
+_PER_RANGE = 4_000_000  # fingerprints of a range, on average
 
 
 def pack(values: np.ndarray, counts: np.ndarray) -> dict:
@@ -122,8 +123,12 @@ def _repeated(group: pa.Table) -> pa.Table:
 
 
 def repeated_fingerprints(rows: DataFrame) -> DataFrame:
-    """Fingerprints (one bigint column) that occur more than once."""
-    segment_bits = max(1, (width(rows.sparkSession) - 1).bit_length())
+    """Fingerprints (one bigint column) that occur more than once. ``rows`` is a stored table.
+
+    The number of ranges follows the number of rows, so a merging task holds about ``_PER_RANGE`` fingerprints.
+    """
+    ranges = buckets_for(rows.sparkSession, rows.count(), _PER_RANGE)
+    segment_bits = max(1, (ranges - 1).bit_length())
     filters = rows.mapInArrow(_build(segment_bits), _FILTER)
     return filters.groupBy("segment").applyInArrow(_repeated, "fingerprint long")
 

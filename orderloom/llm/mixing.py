@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderloom.functions.ranking import with_rank, with_running_total
@@ -114,18 +114,36 @@ def mix(
 ) -> DataFrame:
     """Per document: id, size, source_size, target, taken. Runs jobs."""
     rows, taken = _mix(docs, weights, share, repeats, id_col, text_col, source_col)
-    keys = ["source", "id", "size"]
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in keys]
-    return rows.alias("r").join(taken.alias("t"), same).select(
-        F.col("r.id").alias(id_col), F.col("r.size").alias("size"), "source_size", "target", "taken"
-    )
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in _ALIKE]
+    joined = rows.alias("r").join(taken.alias("t"), same).select("r.*", "source_size", "target", "taken", "extra")
+    whole = joined.where("extra = 0").unionByName(_one_more(joined.where("extra > 0")))
+    return whole.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+
+
+_ALIKE = ("source", "id", "size")
+
+
+def _one_more(rows: DataFrame) -> DataFrame:
+    """Of rows that are alike the first ``extra`` ones take one word more.
+
+    They are numbered by slice of the stored rows and within it, so no task holds a group that fills many slices.
+    """
+    sliced = rows.withColumn("slice", F.shiftright("row", 33))
+    counts = sliced.groupBy(*_ALIKE, "slice").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(*_ALIKE).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy(*_ALIKE, "slice").orderBy("row"))
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (*_ALIKE, "slice")]
+    placed = sliced.withColumn("inside", inside).alias("s").join(counts.alias("c"), same).select("s.*", "c.before")
+    more = F.when(F.col("before") + F.col("inside") <= F.col("extra"), 1).otherwise(0)
+    return placed.withColumn("taken", F.col("taken") + more).select(*rows.columns)
 
 
 def _mix(docs, weights, share, repeats, id_col, text_col, source_col) -> tuple[DataFrame, DataFrame]:
     rows = freeze(
         docs.select(
             F.col(id_col).alias("id"), _source(source_col).alias("source"), word_count(text_col).alias("size")
-        ),
+        ).withColumn("row", F.monotonically_increasing_id()),
         "sizes",
     )
     alike = rows.groupBy("source", "id", "size").agg(F.count("*").alias("rows"))
@@ -151,7 +169,8 @@ def _mix(docs, weights, share, repeats, id_col, text_col, source_col) -> tuple[D
             "size",
             "source_size",
             "target",
-            F.floor(F.coalesce("got", F.lit(0)) / F.col("rows")).cast("long").alias("taken"),
+            F.expr("coalesce(got, 0) div rows").alias("taken"),
+            F.expr("coalesce(got, 0) % rows").alias("extra"),
         )
     )
     return rows, checked(taken, "mix", most=100_000)

@@ -1,31 +1,50 @@
 """DuckDB SQL of the text operators that SQL can express."""
 
-from orderloom.llm.licenses import KEYWORDS, RULES, SENTENCES
+from orderloom.llm.licenses import RULES, SENTENCES
 
 SPACE = r"[\x20\x09-\x0D]"
 
 
 def _licenses() -> str:
-    cases = " ".join(f"WHEN regexp_matches(s, '{pattern}') THEN '{name}'" for name, pattern in SENTENCES)
+    """Every sentence of every text against every pattern; no filter goes before."""
+    every = "|".join(f"(?:{pattern})" for _, pattern in SENTENCES)
+    names = " ".join(f"WHEN regexp_matches(h, '^(?:{pattern})') THEN '{name}'" for name, pattern in SENTENCES)
     steps, last = [], "s0"
     for i, (name, run) in enumerate(RULES, 1):
-        ids = "".join(f"<{x}>" for x in run)
+        ids = r"(<\?>){0,3}".join(f"<{x}>" for x in run)
         steps.append(
-            f"s{i} AS (SELECT doc_id, sentence_ids, CASE WHEN contains(rest, '{ids}') THEN list_append(found, '{name}') "
-            f"ELSE found END AS found, replace(rest, '{ids}', '|') AS rest FROM {last})"
+            f"s{i} AS (SELECT doc_id, sentence_ids, CASE WHEN regexp_matches(rest, '{ids}') THEN list_append(found, '{name}') "
+            f"ELSE found END AS found, regexp_replace(rest, '{ids}', '|', 'g') AS rest FROM {last})"
         )
         last = f"s{i}"
+    # a mark is no end in "License-Identifier: MIT", after a lone v, nor a dot before a number; such marks
+    # become other characters first
     return rf"""
 WITH c AS (
-  SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '{SPACE}+', ' ', 'g'),
-                              '([.;:!?]) ', '\1' || chr(10), 'g'), chr(10)) AS cut
-  FROM documents),
-n AS (
-  SELECT doc_id, list_filter(list_transform(cut, lambda s: trim(regexp_replace(regexp_replace(
-           translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9.]+', ' ', 'g'),
-           '[.]+( |$)', ' ', 'g'), ' ')), lambda s: regexp_matches(s, '{KEYWORDS}')) AS kept
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '{SPACE}+', ' ', 'g') AS flat FROM documents),
+p AS (
+  SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(flat,
+           '(?i)(license[- ]identifier): ', '\1- ', 'g'),
+           '(?i)(^|[^a-z0-9])v\. ', '\1v- ', 'g'),
+           '\.( [0-9])', '-\1', 'g') AS held
   FROM c),
-i AS (SELECT doc_id, list_transform(kept, lambda s: CASE {cases} ELSE '?' END) AS sentence_ids FROM n),
+n AS (
+  SELECT doc_id, list_transform(string_split(regexp_replace(held, '([.:;!?]) ', '\1' || chr(10), 'g'), chr(10)),
+           lambda s: trim(regexp_replace(regexp_replace(
+             translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9.]+', ' ', 'g'),
+             '[.]+( |$)', ' ', 'g'), ' ')) AS plain
+  FROM p),
+x AS (
+  SELECT doc_id, list_transform(plain, lambda s: CASE WHEN contains(s, 'spdx license identifier ')
+           THEN replace(regexp_replace(replace(s, ' or later', ' or_later'), ' (or|and) ', ' spdx license identifier ', 'g'),
+                        ' or_later', ' or later') ELSE s END) AS plain
+  FROM n),
+i AS (
+  SELECT doc_id, flatten(list_transform(plain, lambda s: CASE
+           WHEN regexp_matches(s, '{every}') THEN list_transform(regexp_extract_all(s, '{every}', 0), lambda h: CASE {names} END)
+           WHEN regexp_matches(s, 'licen[sc]|copyright|warrant|redistribut|permission|spdx|public domain|as is|liable|all rights reserved') THEN ['?']
+           ELSE CAST([] AS VARCHAR[]) END)) AS sentence_ids
+  FROM x),
 s0 AS (
   SELECT doc_id, sentence_ids, CAST([] AS VARCHAR[]) AS found,
          coalesce(array_to_string(list_transform(sentence_ids, lambda x: '<' || x || '>'), ''), '') AS rest

@@ -1,16 +1,16 @@
 """Personal data by patterns, and information-theoretic sanitisation of what reveals it.
 
 The patterns find protected entities: mail addresses, IP addresses, card and phone numbers. The
-corpus then tells which terms (runs of three or more letters or digits) reveal an entity. With n(c) texts that hold an
-entity c, n(c, t) of them holding term t, f(t) occurrences of t anywhere and W words in all, the information that t gives
-about c is PMI = log(n(c, t) * W / (n(c) * f(t))), and that of the entity itself is IC = log(W / n(c)).
-A term whose PMI reaches ``disclosure`` times IC, over at least ``least`` different texts, is a span
+corpus then tells which terms (runs of letters or digits outside these spans) reveal an entity. All counts are over
+different texts, so copies of a text say nothing: of N texts, n(c) hold an entity c, f(t) a term t, and n(c, t) both. The
+information that t gives about c is PMI = log(n(c, t) * N / (n(c) * f(t))), and that of the entity itself is
+IC = log(N / n(c)). A term whose PMI reaches ``disclosure`` times IC, over at least ``least`` texts, is a span
 of its own wherever it stands in a text that holds the entity; sanitising generalises spans to
-their kind. Equal texts count once, so copies of a text do not make its words revealing. What lies in a span
-already is no term.
+their kind.
 
-All of it is column expressions. Only texts with an entity of ``least`` texts are read for terms, and
-(entity, term) pairs are counted in the reading task before they are shuffled.
+All of it is column expressions. Spans and different terms of every text are written once, and all counts are taken from
+that table. Entities that stand in the same texts share their counts, so a text with thousands of entities is not
+multiplied with its terms; pairs are counted in the reading task before they are shuffled.
 
 Defined results: null texts count as empty and have no spans; repeated rows have equal spans; texts of
 any length are scanned whole (every pattern runs in linear time); an empty table gives an empty
@@ -39,7 +39,7 @@ _EMAIL = rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++{_DOT}[A-Za-z0-9{_D
 _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = rf"(?<![0-9{_JOINT}])[0-9][0-9{_JOINT}]{{13,}}+"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-_TERM = r"[\p{L}\p{N}]{3,}+"
+_TERM = r"[\p{L}\p{N}]++"
 
 
 def matches(text: Column, pattern: str, keep: Callable[[Column], Column] = lambda hit: F.lit(True)) -> Column:
@@ -119,15 +119,17 @@ def _entity(kind: Column, value: Column) -> Column:
 
 
 def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, key, a hash of the text, words, spans. Written once. Runs a job."""
+    """Per row: id, key, row, a hash of the text, spans, and different terms outside them. Written once. Runs a job."""
     text = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), text_of(text_col).alias("text"))
-    spans = text.withColumns(
-        {"spans": base_spans(F.col("text")), "words": F.regexp_count("text", F.lit(_TERM)).cast("long")}
-    )
+    spans = text.withColumn("spans", base_spans(F.col("text")))
     named = F.transform(
         "spans", lambda s: F.struct(s["start"], s["end"], s["kind"], _entity(s["kind"], s["value"]).alias("entity"))
     )
-    return freeze(spans.select("id", "key", F.xxhash64("text").alias("same"), "words", named.alias("spans")), "spans")
+    plain = F.when(F.size("spans") > 0, _outside(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    # lower case may be longer, so words are taken first
+    terms = F.array_distinct(F.transform(F.regexp_extract_all(plain, F.lit(_TERM), F.lit(0)), F.lower))
+    rows = spans.select("id", "key", F.xxhash64("text").alias("same"), named.alias("spans"), terms.alias("terms"))
+    return freeze(rows.withColumn("row", F.monotonically_increasing_id()), "spans")
 
 
 def _outside(text: Column, spans: Column) -> Column:
@@ -152,57 +154,51 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(row_key(id_col, text_col).alias("key"), text_of(text_col).alias("text"))
 
 
-def _holders(found: DataFrame) -> DataFrame:
-    """Which rows and texts hold which entities."""
-    return found.select("key", "same", F.explode("spans").alias("s")).select("key", "same", "s.kind", "s.entity")
+def _holders(found: DataFrame, *keep: str) -> DataFrame:
+    """Which rows hold which entities."""
+    return found.select(*keep, F.explode("spans").alias("s")).select(*keep, "s.kind", "s.entity")
 
 
-def revealing_terms(
-    docs: DataFrame,
-    found: DataFrame,
-    *,
-    disclosure: float = 0.9,
-    least: int = 3,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
+def _different(found: DataFrame) -> DataFrame:
+    """One row for each text."""
+    copies = found.groupBy("same").agg(F.count("*").alias("n"), F.min("row").alias("first")).where("n > 1")
+    more = found.select("same", "row").join(copies, "same").where("row <> first").select("row")
+    return found.join(checked(more, "copies"), "row", "left_anti")
+
+
+def revealing_terms(found: DataFrame, *, disclosure: float = 0.9, least: int = 3) -> DataFrame:
     """(kind, entity, term) where the term reveals the entity. Runs jobs."""
-    held = _holders(found).groupBy("same", "kind", "entity").agg(F.min("key").alias("key"))
-    held = freeze(held, "held")
-    # entities of fewer texts have no pair with so many
-    contexts = held.groupBy("kind", "entity").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= least)
-    contexts = checked(contexts, "contexts")
-    # one row stands for each text; repeated rows share its key, and the count of the text between them
-    one = held.groupBy("same").agg(F.min("key").alias("key"))
-    rows = found.where(F.size("spans") > 0).groupBy("key").agg(F.count("*").alias("rows"), F.first("spans").alias("spans"))
-    entities = held.join(contexts, ["kind", "entity"]).groupBy("same").agg(
-        F.collect_list(F.struct("kind", "entity")).alias("entities")
+    texts = _different(found)
+    held = freeze(_holders(texts, "row").distinct(), "held")
+    # entities of the same texts get the same number: two hashes of the set of texts
+    sets = held.groupBy("kind", "entity").agg(
+        F.count("*").alias("contexts"),
+        F.expr("bit_xor(xxhash64(row, 1))").alias("one"),
+        F.expr("bit_xor(xxhash64(row, 2))").alias("two"),
     )
-    reading = checked(entities.join(one, "same").join(rows, "key").select("key", "rows", "spans", "entities"), "reading")
-    plain = _outside(F.col("text"), F.col("spans"))
-    # lower case may be longer, so words are taken first
-    terms = F.array_distinct(F.transform(F.regexp_extract_all(plain, F.lit(_TERM), F.lit(0)), F.lower))
+    # entities of fewer texts have no pair with so many
+    sets = checked(sets.where(F.col("contexts") >= least), "entities")
+    which = F.struct("contexts", "one", "two").alias("which")
+    reading = held.join(sets, ["kind", "entity"]).select("row", which).distinct()
     pairs = (
-        _texts(docs, id_col, text_col).join(reading, "key")
-        .select("rows", "entities", F.explode(terms).alias("term"))
-        .select("rows", "term", F.explode("entities").alias("e"))
-        .groupBy("e.kind", "e.entity", "term")
-        .agg(F.round(F.sum(1 / F.col("rows"))).cast("long").alias("together"))
+        texts.select("row", "terms")
+        .join(checked(reading, "reading"), "row")
+        .select("which", F.explode("terms").alias("term"))
+        .groupBy("which", "term")
+        .agg(F.count("*").alias("together"))
         .where(F.col("together") >= least)
     )
     pairs = freeze(pairs, "pairs")
     wanted = checked(pairs.select("term").distinct(), "terms")
-    words = docs.select(F.explode(F.regexp_extract_all(text_of(text_col), F.lit(_TERM), F.lit(0))).alias("term"))
-    often = words.groupBy(F.lower("term").alias("term")).agg(F.count("*").alias("often")).join(wanted, "term")
-    total = found.agg(F.sum("words").alias("total")).first()["total"] or 1  # one row
-    information = F.log(F.col("together") * float(total) / (F.col("contexts") * F.col("often")))
-    whole = F.log(F.lit(float(total)) / F.col("contexts"))
-    return (
-        pairs.join(contexts, ["kind", "entity"])
-        .join(often, "term")
-        .where(information >= disclosure * whole)
-        .select("kind", "entity", "term")
+    often = (
+        texts.select(F.explode("terms").alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("often"))
     )
+    total = texts.agg(F.count("*").alias("n")).first()["n"] or 1  # one row
+    contexts = F.col("which.contexts")
+    information = F.log(F.col("together") * float(total) / (contexts * F.col("often")))
+    whole = F.log(F.lit(float(total)) / contexts)
+    told = pairs.join(often, "term").where(information >= disclosure * whole).select("which", "term")
+    return sets.select("kind", "entity", which).join(told, "which").select("kind", "entity", "term")
 
 
 def all_spans(
@@ -215,10 +211,8 @@ def all_spans(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows (id, key, spans) with base spans, and rows (key, terms) with the added ones. Runs jobs."""
     found = found_spans(docs, id_col, text_col)
-    revealing = checked(
-        revealing_terms(docs, found, disclosure=disclosure, least=least, id_col=id_col, text_col=text_col), "revealing"
-    )
-    names = _holders(found).join(revealing, ["kind", "entity"]).groupBy("key").agg(F.collect_set("term").alias("names"))
+    revealing = checked(revealing_terms(found, disclosure=disclosure, least=least), "revealing")
+    names = _holders(found, "key").join(revealing, ["kind", "entity"]).groupBy("key").agg(F.collect_set("term").alias("names"))
     spans = found.where(F.size("spans") > 0).select("key", "spans").dropDuplicates(["key"])
     marking = checked(names.join(spans, "key"), "marking")
     hits = matches(
@@ -227,7 +221,7 @@ def all_spans(
     added = _texts(docs, id_col, text_col).join(marking, "key").select(
         "key", F.transform(hits, lambda s: F.struct(s["start"], s["end"], F.lit(4).alias("kind"))).alias("terms")
     )
-    return found, checked(added.dropDuplicates(["key"]), "terms")
+    return found.drop("terms", "row"), checked(added.dropDuplicates(["key"]), "terms")
 
 
 def _ordered(spans: Column) -> Column:

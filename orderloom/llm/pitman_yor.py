@@ -7,7 +7,11 @@ every restaurant has its tables sampled given all others, from its full conditio
 ``x^t S(c, t)`` (``c`` customers, ``x`` the weight of a new table, ``S`` the generalised Stirling
 numbers) for counts up to ``_EXACT``, above that from the limit of that distribution for large
 counts, one more than a Poisson number. The parent is then seated given the tables of its children.
-Predictive probabilities are averaged over the samples kept.
+Tables are averaged over the samples kept; ``perplexity`` sums the scores up.
+
+Limits of the sampler: it is one pass down the hierarchy (children given the parent's first state, parent given the
+children's tables), and a slice of a cut context takes its own tables as its share of the whole. Seeds, buckets
+and cuts follow from the text alone, so the scores are the same for any number of partitions.
 
 The corpus flows as packed blocks of integers. Texts become chunks of at most ``_CHUNK`` tokens;
 words are counted by hash bucket, and every chunk learns the ids and counts of its own words;
@@ -23,6 +27,7 @@ gives an empty result; ids must be whole numbers or null; extra columns are igno
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +39,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.functions.storage import freeze
-from orderloom.llm.common import buckets_for, text_of
+from orderloom.llm.common import text_of
 
 _CHUNK = 2_000_000  # tokens
 _WORD_BYTES, _PAIR_BYTES = 64_000_000, 10_000_000  # bytes of text for each bucket of words, of pairs
+_LEAST_WORD_BUCKETS, _LEAST_BUCKETS = 8, 24  # small inputs too are the work of many tasks
 _SHARE = 4  # a context is cut if it has more than 1 / _SHARE of a bucket's mean tokens
 _EXACT = 64
 _END = xxhash.xxh64_intdigest(b" ")  # no word holds a blank
@@ -88,6 +94,12 @@ def _rows(group: pa.Table, kind: int, by: str) -> list[tuple[int, list[bytes]]]:
     return sorted(((keys[i], group["data"][i].as_py()) for i in at), key=lambda r: r[0])
 
 
+def _runs(buckets: np.ndarray) -> tuple[list[int], list[int]]:
+    """The buckets that occur in sorted ``buckets``, and where each begins and the last one ends."""
+    there, first = np.unique(buckets, return_index=True)
+    return there.tolist(), [*first.tolist(), len(buckets)]
+
+
 def _tokenize(buckets: int):
     """Chunks of tokens as places in the chunk's own vocabulary, and that vocabulary by bucket."""
 
@@ -108,11 +120,9 @@ def _tokenize(buckets: int):
         rows = [
             (_TOKENS, part, 0, [pack(flat), pack(lengths), pack(held_out), pack(missing), number.tobytes()])
         ]
-        cuts = np.searchsorted((hashes % np.uint64(buckets)).astype(np.int64), np.arange(buckets + 1))
-        for b in range(buckets):
-            low, high = cuts[b], cuts[b + 1]
-            if low < high:
-                rows.append((_WORDS, part, b, [hashes[low:high].tobytes(), pack(train[low:high])]))
+        there, cuts = _runs((hashes % np.uint64(buckets)).astype(np.int64))
+        for b, low, high in zip(there, cuts[:-1], cuts[1:], strict=True):
+            rows.append((_WORDS, part, b, [hashes[low:high].tobytes(), pack(train[low:high])]))
         return _table(rows).combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,15 +204,14 @@ def _send_pairs(buckets: int, hot: int):
         chunk = _Chunk(group, buckets, hot)
         train = np.bincount(chunk.pair[~chunk.held[chunk.token_doc]], minlength=len(chunk.u))
         order = chunk.order
-        cuts = np.searchsorted(chunk.bucket[order], np.arange(buckets + 1))
+        there, cuts = _runs(chunk.bucket[order])
         rows = []
-        for b in range(buckets):
-            at = order[cuts[b] : cuts[b + 1]]
-            if len(at):
-                counts = chunk.word_counts[chunk.word[at]]
-                data = [_sorted(chunk.u[at]), pack(chunk.w[at]), pack(train[at]), pack(counts)]
-                data += [pack(chunk.dealt[at]), pack(chunk.size[at])]
-                rows.append((_PAIRS, chunk.part, b, data))
+        for b, low, high in zip(there, cuts[:-1], cuts[1:], strict=True):
+            at = order[low:high]
+            counts = chunk.word_counts[chunk.word[at]]
+            data = [_sorted(chunk.u[at]), pack(chunk.w[at]), pack(train[at]), pack(counts)]
+            data += [pack(chunk.dealt[at]), pack(chunk.size[at])]
+            rows.append((_PAIRS, chunk.part, b, data))
         return _table(rows)
 
     return run
@@ -380,12 +389,14 @@ def score(
 
     The model is trained on the rows that are not ``held_out``; all rows are scored.
     """
-    settings, spark = settings or Settings(), docs.sparkSession
+    settings = settings or Settings()
     given = docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), text_of(text_col).alias("text")
     )
     amount = given.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    word_buckets, buckets = buckets_for(spark, amount, _WORD_BYTES), buckets_for(spark, amount, _PAIR_BYTES)
+    # by the amount of text alone: seeds and cuts go by bucket, so scores do not hang on the session's width
+    word_buckets = max(_LEAST_WORD_BUCKETS, math.ceil(amount / _WORD_BYTES))
+    buckets = max(_LEAST_BUCKETS, math.ceil(amount / _PAIR_BYTES))
 
     chunks = freeze(given.mapInArrow(_tokenize(word_buckets), _SCHEMA), "tokens")
     tokens_of = chunks.where(F.col("kind") == _TOKENS)
@@ -425,3 +436,13 @@ def score(
         _score(settings, buckets, hot, tokens, types, dealt, parent), _RESULT
     )
     return scored.withColumnRenamed("id", id_col)
+
+
+def perplexity(scored: DataFrame) -> DataFrame:
+    """Of trained and of held-out rows: held_out, n_tokens, perplexity and that of the base, per token. Rows are those
+    of ``score``; no rows give no result."""
+    sums = scored.groupBy("held_out").agg(
+        F.sum("n_tokens").alias("n_tokens"), F.sum("score").alias("score"), F.sum("base_score").alias("base")
+    )
+    per = lambda column: F.pow(F.lit(10.0), -F.col(column) / F.col("n_tokens"))
+    return sums.select("held_out", "n_tokens", per("score").alias("perplexity"), per("base").alias("base_perplexity"))

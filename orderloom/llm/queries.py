@@ -63,7 +63,8 @@ def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
+    counts = [f"n_{kind}" for kind in pii.KINDS[:4]]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -249,22 +249,26 @@ def test_collocations_equal_brute_force(spark, monkeypatch, support, shard, chun
     assert sorted(map(tuple, got.collect())) == all_collocations(rows, support, 40)
 
 
-def test_local_support_is_enough_in_some_shard():
-    """Counts of a shard's share of the support, rounded up, reach every phrase with the whole support."""
+def test_shards_bound_every_count():
+    """Sums over the shards that name a phrase, and one less than the local support for the others, are never too low."""
     draw = random.Random(8)
     texts = [" ".join(draw.choice("abcd") for _ in range(draw.randint(1, 9))) for _ in range(60)]
-    whole = collocations.Words("en")
-    for t in texts:
-        whole.add(t)
-    wanted = set(np.concatenate(list(collocations.mined(whole, 12, 4))).tolist())
-    found = set()
-    for part in (texts[k::7] for k in range(7)):
+
+    def found(texts, support):
         words = collocations.Words("en")
-        for t in part:
+        for t in texts:
             words.add(t)
-        local = max(1, -(-12 * sum(map(len, part)) // sum(map(len, texts))))
-        found |= set(np.concatenate([np.zeros(0, np.int64), *collocations.mined(words, local, 4)]).tolist())
-    assert wanted and wanted <= found
+        return {h: n for hs, ns in collocations.mined(words, support, 4) for h, n in zip(hs.tolist(), ns.tolist(), strict=True)}
+
+    exact = found(texts, 1)
+    assert len(exact) == len({p for t in texts for w in [t.split()] for k in range(1, 5) for p in zip(*(w[i:] for i in range(k)))})
+    for shards in (2, 7, 12, 30):
+        local = -(-12 // shards)
+        parts = [found(texts[k::shards], local) for k in range(shards)]
+        for phrase, n in exact.items():
+            bound = sum(part.get(phrase, local - 1) for part in parts)
+            assert n <= bound and (n < 12 or any(phrase in part for part in parts))
+            assert local > 1 or bound == n
 
 
 def test_collocations_of_awkward_tables(spark):
