@@ -1,17 +1,19 @@
 """Phrase collocations by SON partitioning: shards mined whole, then one exact count of what they name.
 
 Texts are cut into pieces at punctuation and line ends, pieces into words; a phrase is a run of words
-within a piece. A language with ``W`` bytes of text is dealt into shards. A phrase found ``support``
-times or more must be found at least ``support * w / W`` times in some shard of ``w`` bytes, so every
-shard is mined completely, level by level, with that lowered support. What is locally frequent there
-marks a bit of one table of ``2**_BITS`` bits (its size is fixed). The second pass reads all texts where
-they lie and counts, exactly and as strings, every phrase whose bit is set: all candidates of all shards,
-and the few others that share a bit. The support is then asked of these exact counts, so neither hash
-nor shard decides about a result.
-
-A language of more shards than ``support`` has a local support of one: its shards name every phrase, and
-the second pass is then a full count. That is the method's limit at a fixed support; it costs shuffle, not
-results.
+within a piece. The texts of a language are dealt into ``S`` shards. A phrase found ``support`` times or
+more is found ``s = ceil(support / S)`` times in some shard, so every shard is mined completely, level by level,
+with that lowered support. The union of what is locally frequent is then pruned by what the shards have
+told: where a phrase was not named, it was found ``s - 1`` times at most, so its count is at most the sum of the
+counts of the shards that named it and ``s - 1`` for each of the others. Candidates for which that sum reaches
+the support set a bit in one table of ``2**_BITS`` bits (its size is fixed). The second pass reads all texts
+where they lie and counts, exactly and as strings, every phrase whose bit is set: all candidates, and the few
+others that share a bit; counts travel as packed blocks, one for each task and bucket of phrases. The support is then asked of these exact counts, so neither hash nor shard decides
+about a result.
+
+A language of ``support`` shards or more has a local support of one: its shards name every phrase, and the
+sums are then the counts themselves. That is the method's limit at a fixed support: the first shuffle holds a row
+of two numbers for each phrase of each shard, while the second stays as small as the result.
 
 A candidate's score is ``floor(2000000 * a / (l + r))``, ``a`` its count, ``l`` and ``r`` those of the two
 parts of its lowest-scoring cut (first such cut). Candidates that lie inside a longer one with most of
@@ -29,11 +31,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderloom.functions.storage import freeze
-from orderloom.llm.common import checked, text_of
+from orderloom.llm.common import buckets_for, checked, text_of
 
 #: Bits of the table of candidates (8 MB).
 _BITS = 26
@@ -81,20 +84,19 @@ class Words:
         """What every phrase's hash of this language begins with."""
         return np.uint64(xxhash.xxh64_intdigest(self.lang.encode(), 1) * int(_STEP) % (1 << 64))
 
-    def phrases(self, ids: np.ndarray, starts: np.ndarray, length: int) -> list[str]:
+    def phrases(self, ids: np.ndarray, starts: np.ndarray, length: int) -> list[bytes]:
         words = list(self.numbers)
         runs = np.column_stack([ids[starts + k] for k in range(length)]).tolist()
-        return [b" ".join([words[i] for i in run]).decode() for run in runs]
+        return [b" ".join([words[i] for i in run]) for run in runs]
 
 
-def _places(hashed: np.ndarray, bits: int) -> np.ndarray:
-    """Bit numbers of phrase hashes, in a table of ``2**bits``."""
-    mixed = (hashed ^ (hashed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+def _mixed(hashed: np.ndarray) -> np.ndarray:
+    """Phrase hashes whose first bits are a bit number in the table of candidates."""
+    return (hashed ^ (hashed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def mined(words: Words, support: int, longest: int, bits: int = _BITS) -> Iterator[np.ndarray]:
-    """Bit numbers of all phrases found ``support`` times or more; parts of a frequent phrase are frequent."""
+def mined(words: Words, support: int, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and counts of all phrases found ``support`` times or more; parts of a frequent phrase are frequent."""
     ids = words.array()
     if not len(ids):
         return
@@ -102,7 +104,7 @@ def mined(words: Words, support: int, longest: int, bits: int = _BITS) -> Iterat
     counts = np.bincount(ids, minlength=size)
     counts[0] = 0  # the end of a piece is no word
     often = np.flatnonzero(counts >= support)
-    yield _places(words.seed() + hashes[often], bits)
+    yield _mixed(words.seed() + hashes[often]), counts[often]
     label = np.full(size, -1, np.int64)
     label[often] = often
     label = label[ids]  # number of the frequent phrase that starts here, or -1
@@ -116,20 +118,20 @@ def mined(words: Words, support: int, longest: int, bits: int = _BITS) -> Iterat
         _, first, inverse, found = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
         kept = found >= support
         hashed[: 1 - length] = hashed[: 1 - length] * _STEP + hashes[ids[length - 1 :]]
-        yield _places(hashed[starts[first[kept]]], bits)
+        yield _mixed(hashed[starts[first[kept]]]), found[kept]
         renamed = np.where(kept, np.cumsum(kept) - 1, -1)
         label = np.full(len(ids), -1, np.int64)
         label[starts] = renamed[inverse]
 
 
-def counted(words: Words, table: np.ndarray, longest: int) -> Iterator[tuple[list[str], np.ndarray]]:
-    """Every phrase whose bit is set, with how often it is found; first the number of words under ''."""
+def counted(words: Words, table: np.ndarray, longest: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """Every phrase whose bit is set, its hash, and how often it is found; first the number of words under ``b""``."""
     ids = words.array()
     if not len(ids):
         return
     hashes, size = words.hashes(), np.int64(len(words.numbers))
     real, bits = ids != 0, (len(table) * 64).bit_length() - 1
-    yield [""], np.array([np.count_nonzero(real)])
+    yield [b""], np.array([words.seed()]), np.array([np.count_nonzero(real)])
     hashed = words.seed() + hashes[ids]
     inside = real.copy()  # whether the phrase that starts here lies within a piece
     for length in range(1, longest + 1):
@@ -141,19 +143,19 @@ def counted(words: Words, table: np.ndarray, longest: int) -> Iterator[tuple[lis
             inside[end:] = False
             inside[:end] &= real[length - 1 :]
         starts = np.flatnonzero(inside)
-        place = _places(hashed[starts], bits)
+        place = (_mixed(hashed[starts]) >> np.uint64(64 - bits)).astype(np.int64)
         starts = starts[(table[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1]
         if length == 1:
             found = np.bincount(ids[starts], minlength=size)
             some = np.flatnonzero(found)
             names = list(words.numbers)
-            yield [names[i].decode() for i in some.tolist()], found[some]
+            yield [names[i] for i in some.tolist()], _mixed(words.seed() + hashes[some]), found[some]
             continue
         keys = ids[starts].astype(np.int64)
         for k in range(1, length):  # exact: the number of the first k words, and the next word
             keys = keys * size + ids[starts + k]
             _, first, keys, found = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-        yield words.phrases(ids, starts[first], length), found
+        yield words.phrases(ids, starts[first], length), _mixed(hashed[starts[first]]), found
 
 
 def _lang(column: str) -> Column:
@@ -174,24 +176,29 @@ def frequent_phrases(
     )
 
     def mine(group: pa.Table) -> pa.Table:
-        words = Words(group["lang"][0].as_py())
-        held = 0
+        words, local = Words(group["lang"][0].as_py()), -(-support // group["shards"][0].as_py())
         for batch in group.to_batches(max_chunksize=2_000):
             for text in batch.column("text").to_pylist():
-                held += len(text.encode())
                 words.add(text)
-        # the lowest whole number that is no less than support * held / whole
-        local = max(1, -(-support * held // group["whole"][0].as_py()))
-        found = [np.zeros(0, np.int64), *mined(words, local, longest, bits)]
-        return pa.table({"place": np.unique(np.concatenate(found))})
+        hashes, counts = zip((np.zeros(0, np.uint64), np.zeros(0, np.int64)), *mined(words, local, longest), strict=True)
+        hashes, counts = np.concatenate(hashes).view(np.int64), np.concatenate(counts)
+        base = np.full(len(counts), group["shards"][0].as_py() * (local - 1))
+        return pa.table({"hash": hashes, "more": counts - (local - 1), "base": base})
 
-    places = (
-        placed.select("lang", "text", "whole", F.pmod("row", shards).alias("shard"))
+    named = freeze(
+        placed.select("lang", "text", shards.alias("shards"), F.pmod("row", shards).alias("shard"))
         .groupBy("lang", "shard")
-        .applyInArrow(mine, "place long")
+        .applyInArrow(mine, "hash long, more long, base long")
+        .groupBy("hash")
+        .agg((F.sum("more") + F.max("base")).alias("most"))
+        .where(F.col("most") >= support),
+        "candidates",
     )
+    # a bucket of the final count holds about so many phrases, whatever their number
+    buckets = buckets_for(spark, named.count(), 100_000)
     rows = (
-        places.groupBy(F.shiftright("place", 6).alias("word"))
+        named.select(F.shiftrightunsigned("hash", 64 - bits).alias("place"))
+        .groupBy(F.shiftright("place", 6).alias("word"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 AS int)))").alias("set"))
         .toArrow()  # at most 2**(bits - 6) rows of two numbers
     )
@@ -204,13 +211,11 @@ def frequent_phrases(
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, words in held.items():
-                for phrases, found in counted(words, shared.value, longest):
-                    for a in range(0, len(phrases), 50_000):
-                        part = pa.array(phrases[a : a + 50_000], pa.string())
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang] * len(part), pa.string()), part, pa.array(found[a : a + 50_000], pa.int64())],
-                            names=["lang", "phrase", "f"],
-                        )
+                parts = list(counted(words, shared.value, longest))
+                if parts:
+                    phrases = [p for part, _, _ in parts for p in part]
+                    hashes, found = (np.concatenate([part[i] for part in parts]) for i in (1, 2))
+                    yield _packed(lang, phrases, (hashes % np.uint64(buckets)).astype(np.int64), found)
             held.clear()
 
         for batch in batches:
@@ -223,15 +228,51 @@ def frequent_phrases(
                     yield from flush()
         yield from flush()
 
-    counts = (
-        texts.mapInArrow(count, "lang string, phrase string, f long")
-        .groupBy("lang", "phrase")
-        .agg(F.sum("f").alias("f"))
-        .where((F.col("f") >= support) | (F.col("phrase") == ""))
-    )
+    def total(group: pa.Table) -> pa.Table:
+        out = []
+        for lang, sums in _unpacked(group).items():
+            out += [(lang, phrase.decode(), n) for phrase, n in sums.items() if n >= support or not phrase]
+        langs, phrases, sums = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table(
+            {"lang": pa.array(langs, pa.string()), "phrase": pa.array(phrases, pa.string()), "f": pa.array(sums, pa.int64())}
+        )
+
+    counts = texts.mapInArrow(count, "bucket int, lang string, phrases binary, found binary")
+    counts = counts.groupBy("bucket").applyInArrow(total, "lang string, phrase string, f long")
     return freeze(counts, "frequent-phrases")
 
 
+def _packed(lang: str, phrases: list[bytes], buckets: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket that occurs; no phrase holds a line end."""
+    order = np.argsort(buckets, kind="stable")
+    there, first = np.unique(buckets[order], return_index=True)
+    blobs, numbers, press = [], [], zstandard.ZstdCompressor(level=1)
+    for at in np.split(order, first[1:]):
+        blobs.append(press.compress(b"\n".join([phrases[i] for i in at.tolist()])))
+        numbers.append(press.compress(found[at].astype("<i8").tobytes()))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(there, pa.int32()),
+            pa.array([lang] * len(there), pa.string()),
+            pa.array(blobs, pa.binary()),
+            pa.array(numbers, pa.binary()),
+        ],
+        names=["bucket", "lang", "phrases", "found"],
+    )
+
+
+def _unpacked(group: pa.Table) -> dict[str, dict[bytes, int]]:
+    """Sums of the counts of each phrase, by language."""
+    sums: dict[str, dict[bytes, int]] = {}
+    press = zstandard.ZstdDecompressor()
+    for lang, blob, numbers in zip(*(group[c].to_pylist() for c in ("lang", "phrases", "found")), strict=True):
+        own = sums.setdefault(lang, {})
+        counts = np.frombuffer(press.decompress(numbers), "<i8").tolist()
+        for phrase, n in zip(press.decompress(blob).split(b"\n"), counts, strict=True):
+            own[phrase] = own.get(phrase, 0) + n
+    return sums
+
+
 def collocations(
     docs: DataFrame,
     *,
