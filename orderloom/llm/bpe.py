@@ -10,11 +10,15 @@ Pieces come from the vocabulary's own splitting pattern, and special tokens that
 become their ids, as in the ``tokenizers`` library. Each worker keeps the ids of the pieces it has
 met, up to a fixed number, so frequent pieces are encoded once.
 
+``round_trip`` encodes, decodes and compares in one Python worker: the text travels once, and one vocabulary
+is held.
+
 Decoding holds all token bytes in one buffer with an offset per id, gathers the slices of a
 sequence, and reads them as UTF-8 (invalid bytes become U+FFFD).
 
 Defined results: a null text counts as empty and gives no ids; every row is encoded on its own, so
-repeated rows repeat; texts of any length are encoded whole. Ids outside the vocabulary raise.
+repeated rows repeat; texts of any length are encoded whole; an empty table gives no rows. Ids outside the
+vocabulary raise. Extra columns are kept, but one called like a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -31,10 +35,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import fresh, text_of
+from orderloom.llm.common import fresh, text_of, tidied
 
 #: Fixed value: the splitting pattern of this byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: What an encoder remembers: pieces (up to a length), and pairs of neighbours.
 _KEPT_PIECES, _KEPT_LENGTH, _KEPT_PAIRS = 250_000, 48, 250_000
 
 
@@ -50,20 +55,23 @@ class Vocabulary:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
-            self._spec = json.load(file)
+            self._take(json.load(file))
+
+    def _take(self, spec: dict) -> list[bytes]:
+        """Keep what decoding needs of a vocabulary file; the bytes of every id but the special ones."""
         byte_of = _byte_characters()
-        vocab = self._spec["model"]["vocab"]
-        self.special = {t["content"]: t["id"] for t in self._spec["added_tokens"]}
+        vocab = spec["model"]["vocab"]
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = 1 + max([*vocab.values(), *self.special.values()])
         bytes_of = [b""] * size
         for token, i in vocab.items():
             bytes_of[i] = bytes(byte_of[c] for c in token)
-        self.id_of = {b: i for i, b in enumerate(bytes_of) if b}
+        plain = list(bytes_of)
         for content, i in self.special.items():
             bytes_of[i] = content.encode()
-        self.sizes = [len(b) for b in bytes_of]
         self._buffer = np.frombuffer(b"".join(bytes_of), np.uint8)
-        self._offsets = np.concatenate([[0], np.cumsum(self.sizes)])
+        self._offsets = np.concatenate([[0], np.cumsum([len(b) for b in bytes_of])])
+        return plain
 
     def decode_all(self, flat: np.ndarray, lengths: np.ndarray) -> list[str]:
         """Texts of many sequences: ``flat`` holds their ids, ``lengths`` how many each has."""
@@ -82,10 +90,11 @@ class Vocabulary:
 
 
 class ByteBPE(Vocabulary):
-    def __init__(self, path: str):
-        super().__init__(path)
-        model = self._spec.pop("model")
-        self._spec = None
+    def _take(self, spec: dict) -> list[bytes]:
+        plain = super()._take(spec)
+        self.sizes = np.diff(self._offsets).tolist()
+        id_of = {b: i for i, b in enumerate(plain) if b}
+        model = spec["model"]
         vocab, size = model["vocab"], len(self.sizes)
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         # rank of the merge that makes a token (-1: a single byte), its two halves, and the pairs
@@ -99,8 +108,8 @@ class ByteBPE(Vocabulary):
                 self._rank[whole], self._left[whole], self._right[whole] = rank, left, right
         self._shorter = [-1] * size
         self._automaton = ahocorasick.Automaton()
-        for token, i in self.id_of.items():
-            shorter = (self.id_of.get(token[:end], -1) for end in range(len(token) - 1, 0, -1))
+        for token, i in id_of.items():
+            shorter = (id_of.get(token[:end], -1) for end in range(len(token) - 1, 0, -1))
             self._shorter[i] = next((t for t in shorter if t >= 0), -1)
             self._automaton.add_word(token.decode("latin-1"), (len(token) - 1, i))
         self._automaton.make_automaton()
@@ -112,6 +121,12 @@ class ByteBPE(Vocabulary):
             if self.special
             else None
         )
+        return plain
+
+    def forget(self) -> None:
+        """Give up what is remembered of pieces and pairs; it is found again when needed."""
+        self._pieces.clear()
+        self._compatible.clear()
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both by rank leaves exactly these two tokens."""
@@ -266,6 +281,35 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: str =
     return given.mapInArrow(run, _schema(rest, f"{text_col} string"))
 
 
+def round_trip(
+    docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", same_col: str = "restored"
+) -> DataFrame:
+    """Add the token ids of every text, and whether decoding them gives the text back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tokenizer(path)
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            for a, b in _chunks(texts, pc.binary_length(texts).to_pylist()):
+                part = texts[a:b].to_pylist()
+                ids = [bpe.encode(t) for t in part]
+                lengths = np.array([len(i) for i in ids], np.int64)
+                ids = pa.array(ids, pa.list_(pa.int32()))
+                back = bpe.decode_all(ids.flatten().to_numpy().astype(np.int64), lengths)
+                same = pa.array([x == y for x, y in zip(part, back, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i)[a:b] for i in range(batch.num_columns - 1)), ids, same],
+                    names=[*batch.schema.names[:-1], ids_col, same_col],
+                )
+        bpe.forget()  # the worker goes on to other stages
+
+    (work,) = fresh(docs, "work")
+    given = docs.withColumn(work, text_of(text_col)).drop(ids_col, same_col)
+    rest = given.drop(work)
+    schema = _schema(rest, f"{ids_col} array<int>")
+    return given.mapInArrow(tidied(run), schema.add(same_col, "boolean"))
+
+
 def _schema(rest: DataFrame, added: str):
     from pyspark.sql.types import StructType
 

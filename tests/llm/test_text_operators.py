@@ -702,6 +702,15 @@ def test_bpe_equals_the_library_and_restores_texts(spark):
         assert got[i].decoded == known.decode(got[i].ids, skip_special_tokens=False) == text
 
 
+def test_bpe_round_trip_in_one_worker(spark):
+    docs = awkward(spark).withColumn("restored", F.lit("x"))
+    got = bpe.round_trip(docs, vocabulary())
+    assert got.columns == [*docs.columns[:-1], "ids", "restored"] and got.where("NOT restored").count() == 0
+    want = bpe.encode(awkward(spark), vocabulary())
+    assert sorted(map(str, got.select("doc_id", "ids").collect())) == sorted(map(str, want.select("doc_id", "ids").collect()))
+    assert bpe.round_trip(empty(spark), vocabulary()).count() == 0
+
+
 def test_bpe_on_awkward_tables(spark):
     docs = awkward(spark)
     coded = bpe.decode(bpe.encode(docs, vocabulary()), vocabulary())
