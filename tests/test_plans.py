@@ -100,3 +100,11 @@ def test_kept_counts_read_no_orders(spark, name):
 def test_both_scores_read_the_customers_once(spark):
     df = QUERIES["e6_rfm_scores"](spark, SF)
     assert "Exchange" not in executed_plan(df)  # written once; the borders are literals
+
+
+@pytest.mark.parametrize("shared,plain", [("d14_zone_band_gaps", "d10_zone_band_late_rate"),
+                                          ("k4_monthly_partner_outliers", "k1_rolling_7day_late_rate")])
+def test_statistics_read_no_table_again(spark, shared, plain):
+    ours, theirs = QUERIES[shared](spark, SF), QUERIES[plain](spark, SF)
+    for table in ("orders", "lineitem"):
+        assert scans(ours, table) == scans(theirs, table) > 0
