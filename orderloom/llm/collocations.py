@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderloom.functions.storage import freeze
-from orderloom.llm.common import buckets_for, checked, text_of
+from orderloom.llm.common import buckets_for, checked, give_back, text_of, tidied
 
 #: Bits of the table of candidates (8 MB).
 _BITS = 26
@@ -75,7 +75,10 @@ class Words:
             self.held += len(part)
 
     def array(self) -> np.ndarray:
-        return np.concatenate(self._parts) if self._parts else np.zeros(0, np.int32)
+        """All words; the parts are given up for it."""
+        whole = np.concatenate(self._parts) if self._parts else np.zeros(0, np.int32)
+        self._parts = [whole]
+        return whole
 
     def hashes(self) -> np.ndarray:
         return np.fromiter((xxhash.xxh64_intdigest(w) for w in self.numbers), np.uint64, len(self.numbers))
@@ -105,23 +108,31 @@ def mined(words: Words, support: int, longest: int) -> Iterator[tuple[np.ndarray
     counts[0] = 0  # the end of a piece is no word
     often = np.flatnonzero(counts >= support)
     yield _mixed(words.seed() + hashes[often]), counts[often]
-    label = np.full(size, -1, np.int64)
+    label = np.full(size, -1, np.int32)
     label[often] = often
     label = label[ids]  # number of the frequent phrase that starts here, or -1
-    hashed = words.seed() + hashes[ids]
+    hashed = hashes[ids]
+    hashed += words.seed()
     for length in range(2, longest + 1):
-        starts = np.flatnonzero((label[:-1] >= 0) & (label[1:] >= 0))
+        starts = np.flatnonzero((label[:-1] >= 0) & (label[1:] >= 0)).astype(np.int32)
         starts = starts[starts + length <= len(ids)]
         if not len(starts):
             return
-        keys = label[starts] * size + ids[starts + length - 1]
-        _, first, inverse, found = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        keys = label[starts] * size + ids[starts + (length - 1)]
+        order = np.argsort(keys)
+        keys = keys[order]
+        starts = starts[order]  # places by phrase
+        del order
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        del keys
+        found = np.diff(np.append(first, len(starts)))
         kept = found >= support
-        hashed[: 1 - length] = hashed[: 1 - length] * _STEP + hashes[ids[length - 1 :]]
+        hashed[: 1 - length] *= _STEP
+        hashed[: 1 - length] += hashes[ids[length - 1 :]]
         yield _mixed(hashed[starts[first[kept]]]), found[kept]
-        renamed = np.where(kept, np.cumsum(kept) - 1, -1)
-        label = np.full(len(ids), -1, np.int64)
-        label[starts] = renamed[inverse]
+        renamed = np.where(kept, np.cumsum(kept) - 1, -1).astype(np.int32)
+        label = np.full(len(ids), -1, np.int32)
+        label[starts] = np.repeat(renamed, found)
 
 
 def counted(words: Words, table: np.ndarray, longest: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
@@ -183,6 +194,7 @@ def frequent_phrases(
         hashes, counts = zip((np.zeros(0, np.uint64), np.zeros(0, np.int64)), *mined(words, local, longest), strict=True)
         hashes, counts = np.concatenate(hashes).view(np.int64), np.concatenate(counts)
         base = np.full(len(counts), group["shards"][0].as_py() * (local - 1))
+        give_back()
         return pa.table({"hash": hashes, "more": counts - (local - 1), "base": base})
 
     named = freeze(
@@ -237,7 +249,7 @@ def frequent_phrases(
             {"lang": pa.array(langs, pa.string()), "phrase": pa.array(phrases, pa.string()), "f": pa.array(sums, pa.int64())}
         )
 
-    counts = texts.mapInArrow(count, "bucket int, lang string, phrases binary, found binary")
+    counts = texts.mapInArrow(tidied(count), "bucket int, lang string, phrases binary, found binary")
     counts = counts.groupBy("bucket").applyInArrow(total, "lang string, phrase string, f long")
     return freeze(counts, "frequent-phrases")
 
