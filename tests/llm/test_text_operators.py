@@ -650,6 +650,33 @@ def test_candidate_clusters_hold_every_link(chunks):
                 assert found[k] == found[other]
 
 
+@pytest.mark.parametrize("similarity", [(80, 100), (85, 100), (1, 2)])
+def test_a_linked_pair_comes_from_few_of_its_common_shingles(similarity):
+    """However many buckets there are; each pair at least once."""
+    rng, similar = random.Random(3), jaccard.Similarity(*similarity)
+    rows = []
+    for g in range(60):
+        text = [f"g{g}w{i}" for i in range(rng.randrange(5, 700))]
+        gone = set(rng.sample(text, int(len(text) * rng.uniform(0, (1 - similar.num / similar.den)))))
+        rows += [(2 * g, " ".join(text)), (2 * g + 1, " ".join(w for w in text if w not in gone))]
+    sets = {k: set(jaccard.Shingler(1)(t).tolist()) for k, t in rows}
+    batch = pa.record_batch({"key": pa.array([k for k, _ in rows], pa.int64()), "text": [t for _, t in rows]})
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    groups = {}
+    for out in jaccard._index(1, similar, SimpleNamespace(value=none), 500)(iter([batch])):
+        for row in out.to_pylist():
+            groups.setdefault(row["bucket"], []).append(row)
+    found = Counter()
+    for group in groups.values():
+        found.update((r["a"], r["b"]) for r in jaccard._meet(similar)(pa.Table.from_pylist(group)).to_pylist())
+    linked = [
+        (k, k + 1) for k in range(0, 120, 2)
+        if similar.den * len(sets[k] & sets[k + 1]) >= similar.num * len(sets[k] | sets[k + 1])
+    ]
+    assert len(linked) > 40 and set(linked) <= set(found)
+    assert sum(found.values()) <= 6 * len(linked)
+
+
 def test_sketches_never_overstate_differences():
     rng = np.random.default_rng(2)
     for _ in range(200):
