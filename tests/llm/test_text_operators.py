@@ -677,6 +677,18 @@ def test_a_linked_pair_comes_from_few_of_its_common_shingles(similarity):
     assert sum(found.values()) <= 6 * len(linked)
 
 
+def test_runs_of_usual_words_make_no_candidates(spark, monkeypatch):
+    """Unlike texts that share such runs, each read by a task of its own, so that no task sees a run twice."""
+    rng, seen, usual = random.Random(4), [], ["the", "of", "and", "to", "in"]
+    texts = [" ".join(w for j in range(40) for w in [f"t{i}w{j}", *rng.choices(usual, k=6)]) for i in range(60)]
+    rows = [*enumerate(texts), (60, texts[7] + " end")]
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "components", lambda edges: seen.append(edges.count()) or components(edges))
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(frame, words=3, similarity=(80, 100)).collect()}
+    assert got == {i: i for i in range(60)} | {60: 7}
+    assert seen == [1, 1]
+
+
 def test_sketches_never_overstate_differences():
     rng = np.random.default_rng(2)
     for _ in range(200):
